@@ -7,11 +7,36 @@ from pyspark.sql import functions as F
 
 from quern.llm.forms import plain_values
 from quern.llm.leaks import leaked_items
+from quern.llm.residue import THRESHOLD, residue_scores, validation
 from quern.llm.spam import spam, spam_scores
 from quern.llm.tokens import encoded
 from quern.sources.tables import table
 
 
+def _fetched(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of content and payloads of evidence, each row once."""
+    c = table(spark, d, "content", "id", "text").select(F.lit("content").alias("kind"), F.col("id").alias("row_key"), F.col("text").alias("body"))
+    e = table(spark, d, "evidence", "evidence_id", "payload_json").select(F.lit("evidence").alias("kind"), F.col("evidence_id").alias("row_key"), F.col("payload_json").alias("body"))
+    return c.unionByName(e)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of content and evidence with template residue, filler, error or script notices."""
+    found = residue_scores(_fetched(spark, d)).where(F.col("probability") >= THRESHOLD)
+    return found.select(F.col("kind").alias("table_name"), "row_key").distinct()
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of content and evidence without any residue."""
+    scored = residue_scores(_fetched(spark, d)).groupBy("kind", "row_key").agg(F.max("probability").alias("probability"))
+    return scored.where(F.col("probability") < THRESHOLD).select(F.col("kind").alias("table_name"), "row_key")
+
+
+def p1_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences by weak label and host, and how many the model flags; one host was held out."""
+    return validation(_fetched(spark, d))
+
+
 def _plain(spark: SparkSession, d: str) -> DataFrame:
     q = plain_values(table(spark, d, "questions", "query_id", "question"), "query_id", ["question"])
     g = plain_values(table(spark, d, "gold120_source_excerpts", "excerpt_id", "source_text", "document_number"), "excerpt_id", ["source_text", "document_number"])
@@ -68,5 +93,5 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "language", "n_words", F.round("distance2", 2).alias("distance2"), F.round("toward", 3).alias("toward"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_plain, p3_numbers, p8_ids, p9_found, p9_items, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_validation, p3_found, p3_plain, p3_numbers, p8_ids, p9_found, p9_items, p10_found, p10_scores)}
 SQL: dict[str, str] = {}
