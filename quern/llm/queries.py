@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.llm.forms import plain_values
 from quern.llm.leaks import leaked_items
 from quern.llm.residue import THRESHOLD, residue_scores, validation
+from quern.llm.scans import repaired_texts, repairs
 from quern.llm.spam import spam, spam_scores
 from quern.llm.tokens import encoded
 from quern.sources.tables import table
@@ -59,6 +60,29 @@ def p3_numbers(spark: SparkSession, d: str) -> DataFrame:
     return plain.groupBy(F.trim("plain").alias("document_number")).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("value").alias("n_spellings"))
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "gold120_source_excerpts", "excerpt_id", "source_text").select(F.lit("gold120_source_excerpts").alias("kind"), F.col("excerpt_id").cast("string").alias("row_key"), F.col("source_text").alias("text"))
+    c = table(spark, d, "content", "id", "text").select(F.lit("content").alias("kind"), F.col("id").alias("row_key"), "text")
+    return g.unionByName(c)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with broken words, misread characters, running headers or page numbers."""
+    return repairs(_scanned(spark, d)).select(F.col("kind").alias("table_name"), "row_key").distinct()
+
+
+def p4_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every text as continuous readable paragraphs."""
+    return repaired_texts(_scanned(spark, d)).select(F.col("kind").alias("table_name"), "row_key", "text", "n_repairs")
+
+
+def p4_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """What was repaired how often: noise by kind, and misread words with their repair."""
+    noise = repairs(_scanned(spark, d))
+    word = F.col("what") == "word"
+    return noise.groupBy("what", F.when(word, F.col("token")).alias("seen"), "meant").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by the 50k byte-level vocabulary."""
     import public_tokenizers
@@ -93,5 +117,5 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "language", "n_words", F.round("distance2", 2).alias("distance2"), F.round("toward", 3).alias("toward"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_validation, p3_found, p3_plain, p3_numbers, p8_ids, p9_found, p9_items, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_validation, p3_found, p3_plain, p3_numbers, p4_found, p4_text, p4_repairs, p8_ids, p9_found, p9_items, p10_found, p10_scores)}
 SQL: dict[str, str] = {}
