@@ -79,3 +79,14 @@ def last_value(df: DataFrame, group: list[str], order: list[str], value: str, ou
     running = F.last(value, ignorenulls=True).over(local.rowsBetween(Window.unboundedPreceding, 0))
     result = _with_carry(placed.withColumn(out, running), carry, group)
     return result.withColumn(out, F.coalesce(out, "__carry")).drop("__carry", SHARD)
+
+
+def previous_value(df: DataFrame, group: list[str], order: list[str], value: str, out: str, shards: int | None = None) -> DataFrame:
+    """Adds ``out``: ``value`` of the row before this one in its group, NULL for the first."""
+    placed = range_shards(df, group, order, shards)
+    lasts = placed.groupBy(*group, SHARD).agg(F.max_by(F.struct(F.col(value)), F.struct(*order)).alias("__last"))
+    carry = _carry(lasts, group, F.last("__last", ignorenulls=True))
+    local = Window.partitionBy(*group, SHARD).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    first = F.row_number().over(local) == 1
+    result = _with_carry(placed.withColumn("__first", first).withColumn(out, F.lag(value).over(local)), carry, group)
+    return result.withColumn(out, F.when(F.col("__first"), F.col("__carry")[value]).otherwise(F.col(out))).drop("__carry", "__first", SHARD)

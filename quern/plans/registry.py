@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import problems
+from quern.plans import problems, text
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+_MODULES = (problems, text)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
 FLAGSHIP = "p7_found"
