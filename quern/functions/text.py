@@ -65,7 +65,7 @@ def stable_id(*parts: Column, prefix: str = "") -> Column:
 def sentences(text: Column) -> Column:
     """Sentences, split behind . ! ? ; and at line ends, trimmed, without empty ones."""
     cut = F.split(F.regexp_replace(text, r"([.!?;])\s+", "$1\n"), "\n+")
-    return F.filter(F.transform(cut, F.trim), lambda s: s != "")
+    return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def host(url: Column) -> Column:

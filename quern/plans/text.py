@@ -49,7 +49,7 @@ def text_layer_metrics(spark: SparkSession, d: str) -> DataFrame:
     n = F.length(x)
     letters = F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]", ""))
     share = lambda v: F.round(v / F.greatest(n, F.lit(1)), 4)
-    lines = F.filter(F.transform(F.split(x, "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(x, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     return c.select(
         "id", n.cast("long").alias("n_chars"), F.size(t.words(x)).cast("long").alias("n_words"), F.size(lines).cast("long").alias("n_lines"), share(letters).alias("alnum_share"),
         share(F.length(F.regexp_replace(x, "[^0-9]", ""))).alias("digit_share"),
@@ -74,7 +74,7 @@ def text_repeated_lines(spark: SparkSession, d: str) -> DataFrame:
     """Short lines on at least two and 55 % of a document's excerpts (three or more), by document."""
     g = table(spark, d, "gold120_source_excerpts", "excerpt_id", "document_number", "source_text").where("source_text IS NOT NULL AND document_number IS NOT NULL").distinct()
     pages = g.groupBy("document_number").agg(F.count(F.lit(1)).alias("n_pages")).where("n_pages >= 3")
-    lines = g.select("excerpt_id", "document_number", F.explode(F.array_distinct(F.transform(F.split("source_text", "\n"), F.trim))).alias("line")).where("line <> '' AND length(line) <= 120")
+    lines = g.select("excerpt_id", "document_number", F.explode(F.array_distinct(F.transform(F.split("source_text", "\n"), lambda s: F.trim(s)))).alias("line")).where("line <> '' AND length(line) <= 120")
     counted = lines.groupBy("document_number", "line").agg(F.count(F.lit(1)).alias("n"))
     return counted.join(pages, "document_number").where(F.col("n") >= F.greatest(F.lit(2), F.ceil(0.55 * F.col("n_pages")))).select("document_number", "line", "n", "n_pages")
 
