@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import words
+from quern.operators.sharded import prefix_sum
 
 #: BM25 parameters.
 K1, B = 1.5, 0.75
@@ -28,6 +29,28 @@ def top(df: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def look_up(asked: DataFrame, index: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    """(query_id, id, rank, level): up to k index rows at the keys a query names, by the longest run of keys that has any.
+
+    ``asked``: query_id and ``keys``; ``index``: id, ``keys`` and ``order`` (greatest
+    first, then the greatest id). The k best of each key are chosen before the join:
+    a key with a third of all rows sends k rows to each query and no more. A NULL or
+    empty first key finds nothing; a NULL later key is left out of the match.
+    """
+    best = None
+    for n in range(len(keys), 0, -1):
+        rank = F.row_number().over(Window.partitionBy(*keys[:n]).orderBy(*[F.desc_nulls_last(c) for c in order], F.desc("id")))
+        some = index.where(" AND ".join(f"{c} <> ''" for c in keys[:n])).withColumn("rank", rank).where(F.col("rank") <= k)
+        some = some.select("id", "rank", *[F.col(c).alias(f"i_{c}") for c in keys[:n]])
+        on = F.lit(True)
+        for c in keys[:n]:
+            on = on & (F.col(c) == F.col(f"i_{c}"))
+        left = asked if best is None else asked.join(best.select("query_id").distinct(), "query_id", "left_anti")
+        found = left.join(some, on).select("query_id", "id", "rank", F.lit(n).alias("level"))
+        best = found if best is None else best.unionByName(found)
+    return best
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of each query, scores rounded to 6 places.
 
@@ -128,9 +151,18 @@ def ir_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return joined.select("query_id", zero(F.col("hits") / F.col("n_relevant")).alias("recall"), zero(F.col("hits") / k).alias("precision"), zero(1 / F.col("first")).alias("mrr"), zero(F.col("dcg") / ideal).alias("ndcg"))
 
 
-def percentile(values: str, p: float) -> Column:
-    """The nearest-rank percentile: the value at place ceil(p n) of the sorted ones."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {values})")
+def nearest_rank(df: DataFrame, group: str, value: str, percentiles: dict[str, float]) -> DataFrame:
+    """(group, one column per percentile): the value at place ceil(p n) of a group's sorted values.
+
+    Equal values are counted before anything is sorted, and a group of any size is
+    cut into shards, so no task holds a group. NULL values do not count.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
+    placed = prefix_sum(counted, [group], [value], "__n", "__before")
+    totals = counted.groupBy(group).agg(F.sum("__n").alias("__all")).withColumnRenamed(group, "__g")
+    at = placed.join(totals, F.col(group).eqNullSafe(F.col("__g")))
+    holds = lambda p: (F.col("__before") < F.ceil(p * F.col("__all"))) & (F.ceil(p * F.col("__all")) <= F.col("__before") + F.col("__n"))
+    return at.groupBy(group).agg(*[F.max(F.when(holds(p), F.col(value))).alias(name) for name, p in percentiles.items()])
 
 
 def bootstrap(values: DataFrame, key: str, value: str, samples: int, seed: int) -> DataFrame:
@@ -152,5 +184,7 @@ def bootstrap(values: DataFrame, key: str, value: str, samples: int, seed: int)
 
     rows = values.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(value).cast("double").alias("v"))
     means = rows.mapInArrow(run, "i long, s double, w double").groupBy("i").agg(F.sum("s").alias("s"), F.sum("w").alias("w")).where("w > 0").select((F.col("s") / F.col("w")).alias("m"))
-    interval = means.agg(F.round(percentile("m", 0.025), 6).alias("low"), F.round(percentile("m", 0.975), 6).alias("high"))
+    # as many rows as samples, whatever the data
+    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY m)")
+    interval = means.agg(F.round(at(0.025), 6).alias("low"), F.round(at(0.975), 6).alias("high"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean")).crossJoin(F.broadcast(interval))

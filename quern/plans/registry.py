@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import graph, problems, temporal, text
+from quern.plans import gates, graph, problems, retrieval, temporal, text
 
-_MODULES = (problems, text, temporal, graph)
+_MODULES = (problems, text, temporal, graph, retrieval, gates)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
-FLAGSHIP = "p7_found"
+FLAGSHIP = "rank_bm25"
