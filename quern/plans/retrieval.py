@@ -10,6 +10,8 @@ from quern.functions.dates import DATE_SQL, parse_date
 from quern.operators import evidence
 from quern.operators import retrieval as r
 from quern.operators.intervals import usable_intervals
+from quern.plans.problems import SQL as PROBLEM_SQL
+from quern.plans.problems import p7_found
 from quern.sources.tables import table
 
 WEIGHTS = {"bm25": 1.0, "terms": 0.5, "titles": 0.0}
@@ -67,14 +69,11 @@ def rank_blended(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rank_exact_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """The five newest excerpts at the document number and article that a question names, else at the number alone."""
-    q = table(spark, d, "questions", "query_id", "question").where("question IS NOT NULL").distinct()
-    article, number = F.regexp_extract("question", r"Điều (\d+)", 1), F.regexp_extract("question", r"(\d+/\d{4}/[A-ZĐ]+-[A-ZĐ]+)", 1)
-    asked = q.select("query_id", article.alias("article"), number.alias("number")).where("number <> ''")
-    asked = asked.withColumn("article", F.nullif("article", F.lit("")))
-    g = table(spark, d, "gold120_source_excerpts", "excerpt_id", "document_number", "article_number", "recorded_at").distinct()
-    index = g.select(F.col("excerpt_id").alias("id"), F.col("document_number").alias("number"), F.col("article_number").alias("article"), "recorded_at")
-    return r.look_up(asked, index, ["number", "article"], ["recorded_at"], 5).select("query_id", F.col("id").alias("excerpt_id"), "rank", "level")
+    """For the place of each excerpt (number, article, clause) the five newest excerpts there, an empty clause left out."""
+    g = table(spark, d, "gold120_source_excerpts", "excerpt_id", "document_number", "article_number", "clause_number", "recorded_at").distinct()
+    index = g.select(F.col("excerpt_id").alias("id"), F.col("document_number").alias("number"), F.col("article_number").alias("article"), F.col("clause_number").alias("clause"), "recorded_at")
+    asked = index.select(F.col("id").alias("query_id"), "number", "article", F.nullif("clause", F.lit("")).alias("clause"))
+    return r.look_up(asked, index, ["number", "article", "clause"], ["recorded_at"], 5).select("query_id", F.col("id").alias("excerpt_id"), "rank", "level")
 
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:
@@ -101,14 +100,14 @@ def evidence_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _gold_ranking(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Units found by exact look-up, ranked, and the units required."""
-    g = table(spark, d, "gold120_source_excerpts", "excerpt_id", "unit_id").distinct()
-    found = rank_exact_lookup(spark, d).join(g, "excerpt_id").select("query_id", F.col("unit_id").alias("id"), "rank")
+    """Units with a version known at the question's date, newest excerpt first, and the units required."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("excerpt_id")))
+    found = p7_found(spark, d).withColumn("rank", rank).select("query_id", F.col("unit_id").alias("id"), "rank")
     return found, _wanted(spark, d).withColumnRenamed("group", "id")
 
 
 def eval_ir_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Recall, precision, reciprocal rank and nDCG at 5 of exact look-up, per question."""
+    """Recall, precision, reciprocal rank and nDCG at 5 of the units known in time, per question."""
     found, wanted = _gold_ranking(spark, d)
     return r.ir_metrics(found, wanted, 5)
 
@@ -181,14 +180,14 @@ _OV = f"""oq AS (SELECT query_id, len(l) AS n, unnest(l) AS term FROM (SELECT it
  od AS (SELECT DISTINCT doc_id, unnest({_T}) AS term FROM documents WHERE text IS NOT NULL),
  os AS (SELECT query_id, doc_id, round(count(*) / any_value(n), 6) AS score FROM od JOIN oq USING (term) GROUP BY 1, 2),
  ov AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM os)"""
-_LOOK = r"""a AS (SELECT query_id, regexp_extract(question, 'Điều (\d+)', 1) AS article, regexp_extract(question, '(\d+/\d{4}/[A-ZĐ]+-[A-ZĐ]+)', 1) AS number FROM (SELECT DISTINCT query_id, question FROM questions WHERE question IS NOT NULL)),
- g AS (SELECT DISTINCT excerpt_id, document_number, article_number, recorded_at FROM gold120_source_excerpts WHERE document_number <> ''),
- l2 AS (SELECT query_id, excerpt_id, row_number() OVER (PARTITION BY query_id ORDER BY recorded_at DESC NULLS LAST, excerpt_id DESC) AS rank, 2 AS level FROM a JOIN g ON number = document_number AND article <> '' AND article = article_number),
- l1 AS (SELECT query_id, excerpt_id, row_number() OVER (PARTITION BY query_id ORDER BY recorded_at DESC NULLS LAST, excerpt_id DESC) AS rank, 1 AS level FROM a JOIN g ON number = document_number WHERE query_id NOT IN (SELECT query_id FROM l2)),
- look AS (SELECT * FROM l2 WHERE rank <= 5 UNION ALL SELECT * FROM l1 WHERE rank <= 5)"""
+_LOOK = """g AS (SELECT DISTINCT excerpt_id, document_number AS n, article_number AS a, clause_number AS c, recorded_at FROM gold120_source_excerpts),
+ m3 AS (SELECT q.excerpt_id AS query_id, g.excerpt_id, g.recorded_at, 3 AS level FROM g q JOIN g USING (n, a, c) WHERE n <> '' AND a <> '' AND c <> ''),
+ m2 AS (SELECT q.excerpt_id AS query_id, g.excerpt_id, g.recorded_at, 2 AS level FROM g q JOIN g USING (n, a) WHERE n <> '' AND a <> '' AND q.excerpt_id NOT IN (SELECT query_id FROM m3)),
+ m1 AS (SELECT q.excerpt_id AS query_id, g.excerpt_id, g.recorded_at, 1 AS level FROM g q JOIN g USING (n) WHERE n <> '' AND q.excerpt_id NOT IN (SELECT query_id FROM m3 UNION SELECT query_id FROM m2)),
+ look AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY recorded_at DESC NULLS LAST, excerpt_id DESC) AS rank FROM (SELECT * FROM m3 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m1)) WHERE rank <= 5)"""
 _WANT = "want AS (SELECT DISTINCT query_id, unnest(gold_unit_ids) AS id FROM (SELECT DISTINCT query_id, gold_unit_ids FROM questions))"
-_IR = f"""{_LOOK}, {_WANT}, tot AS (SELECT query_id, count(*) AS n FROM want GROUP BY 1),
- hit AS (SELECT query_id, count(*) AS h, min(rank) AS f, sum(1 / log2(rank + 1)) AS dcg FROM (SELECT query_id, unit_id AS id, min(rank) AS rank FROM look JOIN (SELECT DISTINCT excerpt_id, unit_id FROM gold120_source_excerpts) USING (excerpt_id) GROUP BY 1, 2) JOIN want USING (query_id, id) GROUP BY 1),
+_IR = f"""p7 AS ({PROBLEM_SQL['p7_found']}), {_WANT}, tot AS (SELECT query_id, count(*) AS n FROM want GROUP BY 1),
+ hit AS (SELECT query_id, count(*) AS h, min(rank) AS f, sum(1 / log2(rank + 1)) AS dcg FROM (SELECT query_id, unit_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY excerpt_id DESC) AS rank FROM p7 QUALIFY rank <= 5) JOIN want USING (query_id, id) GROUP BY 1),
  ir AS (SELECT query_id, round(coalesce(h / n, 0), 6) AS recall, round(coalesce(h / 5, 0), 6) AS precision, round(coalesce(1 / f, 0), 6) AS mrr, round(coalesce(dcg / list_sum(list_transform(range(1, CAST(least(n, 5) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg FROM tot LEFT JOIN hit USING (query_id))"""
 
 SQL = {
