@@ -44,9 +44,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, longest: in
     Rejected (line, reason): no JSON object, or longer than ``longest`` bytes. Blank lines are neither.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", (F.octet_length("value") > longest).alias("long"), F.from_json("value", schema.add("__bad", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("row"))
+    parsed = lines.select("value", (F.octet_length("value") > longest).alias("long"), F.from_json("value", T.StructType([*schema.fields, T.StructField("__bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("row"))
     bad = F.col("long") | F.col("row").isNull() | F.col("row.__bad").isNotNull() | ~F.ltrim("value").startswith("{")
-    names = [f.name for f in schema.fields if f.name != "__bad"]
+    names = [f.name for f in schema.fields]
     rejected = parsed.where(bad).select(F.col("value").alias("line"), F.when(F.col("long"), "TOO_LONG").otherwise("NO_OBJECT").alias("reason"))
     return parsed.where(~bad).select(*[F.col(f"row.{n}").alias(n) for n in names]), rejected
 
