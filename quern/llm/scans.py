@@ -53,7 +53,8 @@ def pieces(text: str) -> tuple[list[str], list[tuple[str, str]]]:
     lines, noise = [], []
     for raw in text.replace("\r\n", "\n").split("\n"):
         line = raw.strip()
-        if line and PAGE.match(line):
+        # a number behind a dash goes on with a range
+        if line and PAGE.match(line) and not (line.isdigit() and lines and re.search(r"[\s\d][-–]$", lines[-1])):
             noise.append(("page", line))
         elif line and len(line) <= 90 and HEADER.search(line):
             noise.append(("header", line))
