@@ -72,3 +72,19 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
         ahead = both.join(frontier, both["source"] == frontier["id"], "left_semi").select(F.col("target").alias("id")).distinct()
         seen = checkpointed(seen.unionByName(ahead.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))))
     return seen
+
+
+def propagated_labels(edges: DataFrame, rounds: int) -> DataFrame:
+    """(id, label): communities by ``rounds`` of synchronous label propagation.
+
+    A node takes the label most frequent among its neighbours, of equally frequent
+    ones the least; it begins with its own id. Votes are counted map-side, so a hub
+    brings one row per label, not one per neighbour. Loops and repeated edges count once.
+    """
+    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).where("source <> target").distinct()
+    both = checkpointed(both)
+    labels = both.select(F.col("source").alias("id")).distinct().withColumn("label", F.col("id"))
+    for _ in range(rounds):
+        votes = both.join(labels, both["target"] == labels["id"]).groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))
+        labels = checkpointed(votes.groupBy(F.col("source").alias("id")).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")))
+    return labels

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.sharded import prefix_sum
+from quern.operators.sharded import prefix_sum, previous_value
 
 
 def rolling_counts(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
@@ -63,3 +63,19 @@ def last_seen(events: DataFrame, key: str, ts: str) -> DataFrame:
     return events.groupBy(key).agg(F.max(row).alias("__row")).select("__row.*")
 
 
+
+
+def conversation(events: DataFrame, key: str, order: list[str], topic: str, turns: int = 20) -> DataFrame:
+    """(key, topic, n_turns, n_changes): a conversation folded: last topic, turns since it began, changes of topic.
+
+    Turns without a topic are left out; more than ``turns`` are not counted. End
+    ``order`` in a unique column. The turn before is found in shards, what follows
+    are aggregates, so a key with any number of turns is never in one task.
+    """
+    rows = events.where(F.col(key).isNotNull() & F.col(topic).isNotNull()).select(key, *order, topic)
+    marked = previous_value(rows, [key], order, topic, "__before")
+    changed = F.col("__before").isNull() | (F.col("__before") != F.col(topic))
+    place = F.struct(*order)
+    ends = marked.groupBy(key).agg(F.max(F.when(changed, place)).alias("__from"), F.max_by(topic, place).alias("__topic"), (F.count_if(changed) - 1).alias("n_changes")).withColumnRenamed(key, "__key")
+    since = rows.join(ends, F.col(key) == F.col("__key")).where(place >= F.col("__from"))
+    return since.groupBy(key).agg(F.first("__topic").alias("topic"), F.least(F.count(F.lit(1)), F.lit(turns)).alias("n_turns"), F.first("n_changes").alias("n_changes"))

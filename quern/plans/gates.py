@@ -126,6 +126,11 @@ def state_last_seen(spark: SparkSession, d: str) -> DataFrame:
     return s.last_seen(table(spark, d, "events", "user_id", "ts", "event_id", "event_type"), "user_id", "ts").select("user_id", "event_id", "event_type")
 
 
+def state_conversation(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as a conversation: type of the last run, its length, changes before."""
+    return s.conversation(table(spark, d, "events", "user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")
+
+
 def state_changes(spark: SparkSession, d: str) -> DataFrame:
     """How the type of a user's events went: kinds, first and last."""
     return s.changes(table(spark, d, "events", "user_id", "ts", "event_type"), "user_id", "ts", "event_type")
@@ -163,5 +168,6 @@ SQL = {
     "state_budgets": "SELECT l_partkey, count(*) AS n_lines, count(*) FILTER (WHERE s <= 200) AS n_allowed FROM (SELECT l_partkey, sum(l_quantity) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS s FROM lineitem) GROUP BY 1",
     "state_sessions": "WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, event_id FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), n AS (SELECT user_id, sum(CASE WHEN b IS NULL OR ts - b >= INTERVAL 6 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM e), c AS (SELECT user_id, s, count(*) AS n FROM n GROUP BY 1, 2) SELECT user_id, count(*) AS n_sessions, CAST(sum(n) AS BIGINT) AS n_events, max(n) AS most_events FROM c GROUP BY 1",
     "state_last_seen": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS rn FROM events) WHERE rn = 1",
+    "state_conversation": "WITH e AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS c FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e), m AS (SELECT user_id, max(run) AS run FROM r GROUP BY 1) SELECT user_id, any_value(event_type) AS topic, least(count(*), 20) AS n_turns, CAST(any_value(run) - 1 AS BIGINT) AS n_changes FROM r JOIN m USING (user_id, run) GROUP BY 1",
     "state_changes": "SELECT user_id, count(DISTINCT event_type) AS n_values, arg_min(event_type, (ts, event_type)) AS first_value, arg_max(event_type, (ts, event_type)) AS last_value FROM events WHERE user_id IS NOT NULL GROUP BY 1",
 }
