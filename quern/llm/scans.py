@@ -25,6 +25,8 @@ from quern.session import checkpointed
 RATIO = 20
 #: Greatest weighted distance of a repair, and least count of its pairs of words.
 FARTHEST, LEAST_CONTEXT = 1.0, 3
+#: How much more frequent the repaired pair must be where a text begins with the suspect.
+OPENING_RATIO = 60
 #: Most frequent words that workers know by heart; all others are looked up by a join.
 TRUSTED = 50_000
 
@@ -253,7 +255,9 @@ def repairs(rows: DataFrame) -> DataFrame:
     own = F.coalesce("s1", F.lit(0)) + F.coalesce("s2", F.lit(0))
     # a word of letters alone may be a rare but right one: both of its neighbours must speak for the repair
     both = (F.col("m1").isNotNull() | F.col("before").isNull()) & (F.col("m2").isNotNull() | F.col("after").isNull())
-    judged = contexts.withColumn("support", support).where((F.col("support") >= LEAST_CONTEXT) & (F.col("support") >= 4 * own) & (both | ~F.col("token").rlike(r"^[\p{L}\-]+$")))
+    # at the beginning of a text only one side can speak: it must do so far more clearly
+    clear = F.col("before").isNotNull() | (support >= OPENING_RATIO * own)
+    judged = contexts.withColumn("support", support).where((F.col("support") >= LEAST_CONTEXT) & (F.col("support") >= 4 * own) & (both & clear | ~F.col("token").rlike(r"^[\p{L}\-]+$")))
     best = Window.partitionBy("kind", "row_key", "at").orderBy(F.desc(F.log("support") - 3 * F.col("cost")), "meant")
     chosen = judged.withColumn("rank", F.row_number().over(best)).where("rank = 1")
     fields = ["kind", "row_key", "what", "at", "token"]
