@@ -14,23 +14,21 @@ from quern.session import shuffle_partitions
 #: Rows of one entity beyond which it is cut into time shards of about this size.
 SHARD_ROWS = 20_000
 
-_OUT = "entity string, event string, version bigint"
-_SCHEMA = pa.schema([("entity", pa.string()), ("event", pa.string()), ("version", pa.int64())])
+_OUT = "entity string, day int, version bigint"
+_SCHEMA = pa.schema([("entity", pa.string()), ("day", pa.int32()), ("version", pa.int64())])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge of one task's shards: rows come sorted by (entity, shard, day, kind).
 
-    Versions already begun wait in a heap, best first; those that ended before the
-    event at the top are dropped for good, as days only grow.
+    Versions already begun wait in a heap, best first; those at its top that ended by
+    the day asked for are dropped for good, as days only grow.
     """
     current, heap = None, []
     for batch in batches:
-        entities, events, versions = [], [], []
+        entities, days, versions = [], [], []
         c = batch.to_pydict()
-        for entity, shard, day, kind, end, start, known, version, event in zip(
-            c["entity"], c["shard"], c["day"], c["kind"], c["end"], c["start"], c["known"], c["version"], c["event"], strict=True
-        ):
+        for entity, shard, day, kind, end, start, known, version in zip(*(c[f] for f in ("entity", "shard", "day", "kind", "end", "start", "known", "version")), strict=True):
             if (entity, shard) != current:
                 current, heap = (entity, shard), []
             if kind == 0:
@@ -40,9 +38,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 heapq.heappop(heap)
             if heap:
                 entities.append(entity)
-                events.append(event)
+                days.append(day)
                 versions.append(-heap[0][2])
-        yield pa.RecordBatch.from_arrays([pa.array(entities, pa.string()), pa.array(events, pa.string()), pa.array(versions, pa.int64())], schema=_SCHEMA)
+        yield pa.RecordBatch.from_arrays([pa.array(entities, pa.string()), pa.array(days, pa.int32()), pa.array(versions, pa.int64())], schema=_SCHEMA)
 
 
 def as_known(events: DataFrame, versions: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -54,31 +52,35 @@ def as_known(events: DataFrame, versions: DataFrame, shard_rows: int = SHARD_ROW
     row. NULL in entity or day of an event, or in any field of a version, leaves the
     row out. Repeated rows count once.
 
-    Entities with more than ``shard_rows`` rows are cut into shards of time at
-    quantiles of their event days; there are at most all rows / ``shard_rows`` of
-    them, which bounds the broadcast of their cuts. A version that may still win
-    after its shard is carried into the later shards that it reaches: within one
-    shard only those that no better version outlives. Shards are then merged each
-    on its own.
+    The answer depends on entity and day alone, so each day is asked once per entity
+    and the answers are joined back to the events: an entity that a third of all
+    events name brings no more days than the calendar has. Of versions alike in begin
+    and end only the best is kept.
+
+    Entities that still have more than ``shard_rows`` rows are cut into shards of time
+    of about that many; the cuts are at most all rows / ``shard_rows``, which bounds
+    their broadcast. A version that may still win after its shard is carried into the
+    later shards that it reaches: within one shard only those that no better version
+    outlives. Shards are then merged each on its own.
     """
     asked = events.where("entity IS NOT NULL AND day IS NOT NULL AND event IS NOT NULL").select("entity", "event", "day").distinct()
+    best = F.max(F.struct("start", "known", "version"))
     usable = (
         versions.select("entity", "version", "start", "end", "known_day", "known").dropna()
         .withColumn("day", F.greatest("start", "known_day"))
         .where("day < end")
-        .select("entity", "version", "start", "end", "known", "day")
-        .distinct()
-    )
-    days = asked.select("entity", "day", F.lit(1).alias("n")).unionByName(usable.select("entity", "day", F.lit(1).alias("n")))
-    large = days.groupBy("entity").agg(F.count("n").alias("n")).where(F.col("n") > shard_rows)
-    cuts = (
-        days.join(F.broadcast(large.select("entity")), "entity")
-        .groupBy("entity")
-        .agg(F.array_distinct(F.percentile_approx("day", [i / 100 for i in range(1, 100)], 1000)).alias("cuts"))
+        .groupBy("entity", "day", "end").agg(best.alias("b"))
+        .select("entity", "day", "end", "b.start", "b.known", "b.version")
     )
+    wanted = asked.select("entity", "day").distinct()
+    daily = wanted.unionByName(usable.select("entity", "day")).groupBy("entity", "day").agg(F.count(F.lit(1)).alias("n"))
+    large = daily.groupBy("entity").agg(F.sum("n").alias("n")).where(F.col("n") > shard_rows).select("entity")
+    so_far = F.coalesce(F.sum("n").over(Window.partitionBy("entity").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = daily.join(F.broadcast(large), "entity").withColumn("shard", F.floor(so_far / shard_rows)).groupBy("entity", "shard").agg(F.min("day").alias("cut"))
+    cuts = cuts.where("shard > 0").groupBy("entity").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
     cuts = F.broadcast(cuts)
     shard_of = lambda day: F.coalesce(F.size(F.filter("cuts", lambda c: c <= day)), F.lit(0))
-    asked = asked.join(cuts, "entity", "left").select("entity", shard_of(F.col("day")).alias("shard"), "day", F.lit(1).alias("kind"), "event")
+    questions = wanted.join(cuts, "entity", "left").select("entity", shard_of(F.col("day")).alias("shard"), "day", F.lit(1).alias("kind"))
     placed = usable.join(cuts, "entity", "left").withColumn("shard", shard_of(F.col("day")))
     # Carry-in of cut entities: of a shard's versions, those no better version outlives.
     better = Window.partitionBy("entity", "shard").orderBy(F.desc("start"), F.desc("known"), F.desc("version")).rowsBetween(Window.unboundedPreceding, -1)
@@ -91,6 +93,7 @@ def as_known(events: DataFrame, versions: DataFrame, shard_rows: int = SHARD_ROW
     )
     fields = ["entity", "shard", "day", "end", "start", "known", "version"]
     versions_by_shard = placed.select(*fields).unionByName(carried.select(*fields)).withColumn("kind", F.lit(0))
-    merged = versions_by_shard.unionByName(asked, allowMissingColumns=True).select("entity", "shard", "day", "kind", "end", "start", "known", "version", "event")
+    merged = versions_by_shard.unionByName(questions, allowMissingColumns=True).select("entity", "shard", "day", "kind", "end", "start", "known", "version")
     n = shuffle_partitions(events.sparkSession)
-    return merged.repartition(n, "entity", "shard").sortWithinPartitions("entity", "shard", "day", "kind").mapInArrow(_merge, _OUT)
+    answers = merged.repartition(n, "entity", "shard").sortWithinPartitions("entity", "shard", "day", "kind").mapInArrow(_merge, _OUT)
+    return asked.join(answers, ["entity", "day"]).select("entity", "event", "version")
