@@ -62,12 +62,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     terms = asked.select("term").distinct()
     tokenized = docs.where("text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w")).withColumn("len", F.size("w"))
-    stats = tokenized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("mean"))
+    # two numbers of the whole corpus
+    stats = tokenized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("mean")).first()
     postings = tokenized.select("doc_id", "len", F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = postings.join(frequency.crossJoin(F.broadcast(stats)), "term").select("doc_id", "term", (idf * weight).alias("s"))
+    idf = F.log(1 + (F.lit(stats.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(stats.mean or 1.0)))
+    scored = postings.join(frequency, "term").select("doc_id", "term", (idf * weight).alias("s"))
     sums = scored.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
     return top(sums, "query_id", "score", "doc_id", k)
 
@@ -186,5 +187,6 @@ def bootstrap(values: DataFrame, key: str, value: str, samples: int, seed: int)
     means = rows.mapInArrow(run, "i long, s double, w double").groupBy("i").agg(F.sum("s").alias("s"), F.sum("w").alias("w")).where("w > 0").select((F.col("s") / F.col("w")).alias("m"))
     # as many rows as samples, whatever the data
     at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY m)")
-    interval = means.agg(F.round(at(0.025), 6).alias("low"), F.round(at(0.975), 6).alias("high"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean")).crossJoin(F.broadcast(interval))
+    interval = means.agg(at(0.025).alias("low"), at(0.975).alias("high")).first()
+    ends = [F.round(F.lit(v).cast("double"), 6).alias(k) for k, v in (("low", interval.low), ("high", interval.high))]
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean")).select("n", "mean", *ends)
