@@ -187,13 +187,13 @@ def candidates(words: DataFrame) -> DataFrame:
     rare = indexed.select("key", F.col("word").alias("seen"), "n")
     pairs = rare.join(good, "key").where(F.col("m") >= RATIO * F.col("n")).select("seen", "meant").distinct()
 
-    @F.udf("double")
+    @F.udf("double", useArrow=True)
     def cost(a, b):
         return distance(a, b)
 
     by_letters = pairs.withColumn("cost", cost("seen", "meant")).where(F.col("cost") <= FARTHEST)
 
-    @F.udf("boolean")
+    @F.udf("boolean", useArrow=True)
     def like_number(a):
         return number_like(a)
 
