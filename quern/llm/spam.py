@@ -29,7 +29,6 @@ NORMAL_QUANTILE = 12.0
 #: Re-estimations of centre and scatter from the texts that lie within the 97.5 % ellipsoid.
 ROUNDS = 2
 
-_NOTHING = dict.fromkeys(map(ord, INVISIBLE))
 _WORD = re.compile(r"\w+")
 _LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|#\w+|</?a\b[^>]*>")
 _CUT = re.compile(r"[.,;:!?|•\n]+(?=\s|$)|\n|\|")
@@ -61,7 +60,10 @@ def statistics(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     split = []
     for i, text in enumerate(texts):
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).translate(_NOTHING)
+            text = unicodedata.normalize("NFC", text)
+            for sign in INVISIBLE:
+                if sign in text:
+                    text = text.replace(sign, "")
         if "#" in text or "://" in text or "<a" in text or "www." in text:
             text, links[i] = _LINK.subn(" ", text)
         parts = _CUT.split(text)
