@@ -117,6 +117,16 @@ _USABLE_SQL = f"""usable AS (
 
 SQL = {
     "p2_found": _TREE_SQL + " SELECT provision_id, root_id, depth FROM tree UNION ALL SELECT provision_id, 'CYCLE', -1 FROM latest WHERE provision_id NOT IN (SELECT provision_id FROM tree)",
+    "p2_nodes": _TREE_SQL
+    + """, sorted AS (
+ SELECT provision_id, provision_id AS root_id, [struct_pack(p := -2147483648, i := provision_id)] AS s FROM edges WHERE parent_id IS NULL
+ UNION ALL SELECT e.provision_id, t.root_id, list_append(t.s, struct_pack(p := coalesce(l.order_index, -2147483648), i := e.provision_id)) FROM edges e JOIN latest l ON l.provision_id = e.provision_id JOIN sorted t ON e.parent_id = t.provision_id),
+up AS (SELECT provision_id, parent_id AS ancestor_id FROM edges WHERE parent_id IS NOT NULL AND provision_id IN (SELECT provision_id FROM tree)
+ UNION ALL SELECT u.provision_id, e.parent_id FROM up u JOIN edges e ON u.ancestor_id = e.provision_id WHERE e.parent_id IS NOT NULL),
+below AS (SELECT ancestor_id, count(*) AS n FROM up GROUP BY 1)
+ SELECT t.provision_id, t.root_id, t.depth, t.path, false AS in_circle, row_number() OVER (PARTITION BY t.root_id ORDER BY s.s) - 1 AS preorder, coalesce(b.n, 0) AS n_descendants
+ FROM tree t JOIN sorted s USING (provision_id) LEFT JOIN below b ON b.ancestor_id = t.provision_id
+ UNION ALL SELECT provision_id, 'CYCLE', -1, NULL, true, NULL, NULL FROM latest WHERE provision_id NOT IN (SELECT provision_id FROM tree)""",
     "p2_descendants": _TREE_SQL
     + """, up AS (SELECT provision_id AS descendant_id, parent_id AS ancestor_id, 1 AS distance FROM edges WHERE parent_id IS NOT NULL AND provision_id IN (SELECT provision_id FROM tree)
  UNION ALL SELECT u.descendant_id, e.parent_id, u.distance + 1 FROM up u JOIN edges e ON u.ancestor_id = e.provision_id WHERE e.parent_id IS NOT NULL)
