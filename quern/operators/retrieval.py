@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import words
 from quern.operators.sharded import prefix_sum
+from quern.session import shuffle_partitions
 
 #: BM25 parameters.
 K1, B = 1.5, 0.75
 #: Constant of reciprocal rank fusion.
 RRF = 60
-#: Query vectors that are compared with a batch of the index at once.
-BLOCK = 256
+#: Query vectors that are compared with a tile of the index at once, and vectors of a tile.
+BLOCK, TILE = 256, 4096
 
 
 def top(df: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
@@ -73,42 +74,51 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return top(sums, "query_id", "score", "doc_id", k)
 
 
+def _cut(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(rows with their cut in ``name``, number of cuts): by hash, about TILE rows each, fewer where that keeps all tasks busy."""
+    n, tasks = rows.count(), shuffle_partitions(rows.sparkSession)
+    cuts = max(1, -(-n // min(TILE, max(BLOCK, -(-n // tasks)))))
+    return rows.withColumn(name, F.pmod(F.xxhash64(*rows.columns), F.lit(cuts)).cast("int")), cuts
+
+
 def dense(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, vec_id, score, rank): exact cosine search, scores rounded to 6 places.
 
-    ``index``: vec_id, embedding; ``queries``: query_id, embedding. The stated
-    queries are sent in blocks of BLOCK; each task multiplies a block with its part
-    of the index and keeps the k best of each query, so at most tasks * queries * k
-    rows are shuffled. A query does not find itself. NULL and zero vectors are left out.
+    ``index``: vec_id, embedding; ``queries``: query_id, embedding. Both are cut by hash
+    into tiles of about TILE rows; every tile of queries meets every tile of the index
+    in a task of its own, by a join on both numbers, and keeps the k best of each query.
+    No vector passes through the driver; a vector is shuffled once for each tile of the
+    other side. A query does not find itself. NULL and zero vectors are left out.
     """
-    schema = "query_id long, vec_id long, score double"
-    asked = [(r.query_id, r.embedding) for r in queries.where("embedding IS NOT NULL").distinct().toLocalIterator()]
-    found = None
-    for start in range(0, max(1, len(asked)), BLOCK):
-        block = asked[start : start + BLOCK]
-        sent = index.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids = np.array([i for i, _ in sent.value], np.int64)
-            q = np.array([e for _, e in sent.value], np.float64)
-            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(q) else 1
-            for b in batches:
-                if not b.num_rows or not len(q):
-                    continue
-                keys = b.column(0).to_numpy()
-                x = np.array(b.column(1).to_pylist(), np.float64)
-                norms = np.linalg.norm(x, axis=1)
-                x = x / np.maximum(norms, 1e-300)[:, None]
-                score = np.round(q @ x.T, 6)
-                score[ids[:, None] == keys[None, :]] = -9
-                score[:, norms == 0] = -9
-                order = np.lexsort((np.broadcast_to(keys, score.shape), -score))[:, :k]
-                rows, columns = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
-                kept = score[rows, columns] > -9
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows][kept]), pa.array(keys[columns][kept]), pa.array(score[rows, columns][kept])], names=["query_id", "vec_id", "score"])
-
-        part = index.where("embedding IS NOT NULL AND vec_id IS NOT NULL").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
+    asked = queries.where("embedding IS NOT NULL AND query_id IS NOT NULL").select(F.col("query_id").cast("long"), "embedding").distinct()
+    rows = index.where("embedding IS NOT NULL AND vec_id IS NOT NULL").select(F.col("vec_id").cast("long"), "embedding").distinct()
+    (asked, n_blocks), (rows, n_parts) = _cut(asked, "block"), _cut(rows, "part")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+
+    def unit(t: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
+        x = np.array(t.column("embedding").to_pylist(), np.float64)
+        norms = np.linalg.norm(x, axis=1)
+        return t.column(key).to_numpy()[norms > 0], x[norms > 0] / norms[norms > 0, None]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            (ids, q), (keys, x) = unit(left, "query_id"), unit(right, "vec_id")
+            for start in range(0, len(ids) if len(keys) else 0, BLOCK):
+                own = ids[start : start + BLOCK]
+                score = np.round(q[start : start + BLOCK] @ x.T, 6)
+                score[own[:, None] == keys[None, :]] = -9
+                least = -np.partition(-score, min(k, len(keys)) - 1, axis=1)[:, min(k, len(keys)) - 1]
+                r, c = np.nonzero((score >= least[:, None]) & (score > -9))
+                order = np.lexsort((keys[c], -score[r, c], r))
+                r, c = r[order], c[order]
+                kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+                out.append((own[r[kept]], keys[c[kept]], score[r[kept], c[kept]]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+
+    found = asked.groupBy("block", "part").cogroup(rows.groupBy("block", "part")).applyInArrow(run, "query_id long, vec_id long, score double")
     return top(found.distinct(), "query_id", "score", "vec_id", k)
 
 

@@ -166,3 +166,22 @@ def test_text_functions(spark):
     urls = spark.createDataFrame([("HTTPS://A.Example/x/#y",), ("https://u@b.example/",), ("nichts",), (None,)], "x string")
     assert [r[0] for r in urls.select(t.normal_url(F.col("x"))).collect()] == ["https://a.example/x", None, None, None]
     assert [r[0] for r in urls.select(t.host(F.col("x"))).collect()] == ["a.example", "b.example", None, None]
+
+
+def test_dense_of_many_tiles(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(r, "BLOCK", 16)
+    monkeypatch.setattr(r, "TILE", 40)
+    x = np.random.default_rng(2).integers(-2, 3, size=(300, 3)).astype(float)  # many equal vectors and equal scores
+    index = spark.createDataFrame([(i, x[i].tolist()) for i in range(300)], "vec_id long, embedding array<float>").repartition(4)
+    monkeypatch.setattr(type(index), "toLocalIterator", None)  # the vectors stay in Spark
+    got = {(z.query_id, z.rank): (z.vec_id, z.score) for z in r.dense(index, index.withColumnRenamed("vec_id", "query_id"), 5).collect()}
+    norms = np.linalg.norm(x, axis=1)
+    unit = x / np.maximum(norms, 1e-300)[:, None]
+    expected = {}
+    for q in np.flatnonzero(norms):
+        s = np.round(unit @ unit[q], 6)
+        s[[q, *np.flatnonzero(norms == 0)]] = -9
+        expected |= {(int(q), n + 1): (int(v), float(s[v])) for n, v in enumerate(np.lexsort((np.arange(300), -s))[:5])}
+    assert got == expected
