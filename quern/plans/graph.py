@@ -84,9 +84,9 @@ def graph_quarantine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest-neighbour edges from every fiftieth vector to its five nearest, kept where the lower id chose."""
+    """Nearest-neighbour edges from every vector to its five nearest, kept where the lower id chose."""
     e = table(spark, d, "embeddings", "vec_id", "embedding")
-    found = dense(e, e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 5)
+    found = dense(e, e.withColumnRenamed("vec_id", "query_id"), 5)
     return found.where("query_id < vec_id").select(F.col("query_id").alias("source"), F.col("vec_id").alias("target"), "score")
 
 
