@@ -74,6 +74,18 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """(source, target): every edge in both directions once, without loops."""
+    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    return checkpointed(both.where("source <> target").distinct())
+
+
+def _voted(both: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, label): the label most frequent among the neighbours, of equally frequent ones the least."""
+    votes = both.join(labels.select("id", "label"), both["target"] == labels["id"]).groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))
+    return votes.groupBy(F.col("source").alias("id")).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
+
+
 def propagated_labels(edges: DataFrame, rounds: int) -> DataFrame:
     """(id, label): communities by ``rounds`` of synchronous label propagation.
 
@@ -81,10 +93,33 @@ def propagated_labels(edges: DataFrame, rounds: int) -> DataFrame:
     ones the least; it begins with its own id. Votes are counted map-side, so a hub
     brings one row per label, not one per neighbour. Loops and repeated edges count once.
     """
-    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).where("source <> target").distinct()
-    both = checkpointed(both)
+    both = _both_ways(edges)
     labels = both.select(F.col("source").alias("id")).distinct().withColumn("label", F.col("id"))
     for _ in range(rounds):
-        votes = both.join(labels, both["target"] == labels["id"]).groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))
-        labels = checkpointed(votes.groupBy(F.col("source").alias("id")).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")))
+        labels = checkpointed(_voted(both, labels))
     return labels
+
+
+def communities(edges: DataFrame, least: int = 3, limit: int = 1000) -> DataFrame:
+    """(id, label): communities of at least ``least`` nodes, by label propagation until it is stable.
+
+    Rounds are those of ``propagated_labels``. Synchronous rounds over edges in both
+    directions end in one state or in two that alternate, so the end is the round in
+    which every node has the label it had two rounds before; a node that alternates
+    has the lesser of its two labels. An error where that takes more than ``limit``
+    rounds. Nodes of smaller communities are left out.
+    """
+    both = _both_ways(edges)
+    labels = checkpointed(both.select(F.col("source").alias("id")).distinct().select("id", F.col("id").alias("label"), F.lit(None).cast(both.schema["source"].dataType).alias("before")))
+    for _ in range(limit):
+        last = labels.select(F.col("id").alias("node"), F.col("label").alias("before"), F.col("before").alias("earlier"))
+        now = _voted(both, labels).join(last, F.col("id") == F.col("node"))
+        now = checkpointed(now.select("id", "label", "before", F.col("label").eqNullSafe(F.col("earlier")).alias("same")))
+        labels = now.select("id", "label", "before")
+        if not now.where("NOT same").limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"no end after {limit} rounds")
+    found = checkpointed(labels.select("id", F.least("label", "before").alias("label")))
+    large = found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return found.join(large, "label", "left_semi").select("id", "label")

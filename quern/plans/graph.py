@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.graph import components, dangling, degrees, expand, next_edges, propagated_labels
+from quern.operators.graph import communities, components, dangling, degrees, expand, next_edges
 from quern.operators.hierarchy import descendants, hierarchy, latest_parents
 from quern.operators.retrieval import dense
 from quern.sources.tables import table
@@ -62,8 +62,8 @@ def graph_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_communities(spark: SparkSession, d: str) -> DataFrame:
-    """Communities of texts by three rounds of label propagation over their relations."""
-    return propagated_labels(_relations(spark, d), 3)
+    """Communities of at least three texts by label propagation over their relations until it is stable."""
+    return communities(_relations(spark, d))
 
 
 def graph_two_hops(spark: SparkSession, d: str) -> DataFrame:
