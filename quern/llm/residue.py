@@ -180,6 +180,16 @@ def weak_label(sentence: str, status: int) -> int | None:
     return None if status >= 400 else 0
 
 
+def told(kind: str, body: str | None) -> Iterator[tuple[str, str, bool, int | None]]:
+    """(host, sentence, is title, weak label) of every sentence of a row."""
+    status, host = status_and_host(body) if kind == "evidence" else (0, "")
+    found = [(s, is_title, weak_label(s, status)) for is_title, t in (fetched_texts(body) if kind == "evidence" else [(False, body or "")]) for s in parts(t)]
+    unknown = status >= 400 and not any(label for _, _, label in found)
+    for s, is_title, label in found:
+        # an error response whose wording no phrase knows
+        yield host, s, is_title, 1 if unknown and not is_title else label
+
+
 def _units(rows: DataFrame) -> DataFrame:
     """Labelled sentences (host, label, features as indices) of sampled rows."""
 
@@ -188,12 +198,7 @@ def _units(rows: DataFrame) -> DataFrame:
             host_of, label_of, index_of, key_of = [], [], [], []
             seen: set[tuple[str, int]] = set()
             for kind, text in zip(b.column("kind").to_pylist(), b.column("body").to_pylist(), strict=True):
-                status, host = status_and_host(text) if kind == "evidence" else (0, "")
-                told = [(s, is_title, weak_label(s, status)) for is_title, t in (fetched_texts(text) if kind == "evidence" else [(False, text or "")]) for s in parts(t)]
-                unknown = status >= 400 and not any(label for _, _, label in told)
-                for s, is_title, label in told:
-                    if unknown and not is_title:
-                        label = 1  # an error response whose wording no phrase knows
+                for host, s, is_title, label in told(kind, text):
                     if label is None or (label == 0 and len(s) > 60 and zlib.crc32(s.encode("utf-8", "surrogatepass")) % 8 and not MENTION.search(s)):
                         continue  # plain long sentences abound: an eighth of them is plenty
                     if (s, label) in seen:
@@ -299,19 +304,27 @@ def residue_scores(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame
 def validation(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(host, held_out, label, n_sentences, n_flagged): weak labels against the model, per host.
 
-    The held-out host was not seen in training.
+    The model is fitted on the bounded sample without the held-out host; every sentence
+    of all rows that has a label counts, as often as it occurs. Every batch sends
+    one sum per host and label.
     """
     units = labelled(rows, sample_rows)
     host = held_out_host(units)
-    model = fitted(units, host)
-    weights, intercept = model if model is not None else (np.zeros(BUCKETS), -1.0)
-    sent = rows.sparkSession.sparkContext.broadcast((weights, intercept))
-
-    @F.udf("double", useArrow=True)
-    def score(index):
-        w, b = sent.value
-        return float(w[index].sum() + b)
-
-    flagged = units.withColumn("flagged", F.when(score("index") >= 0, 1).otherwise(0))
-    grouped = flagged.groupBy("host", "label").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("flagged").alias("n_flagged"))
-    return grouped.select("host", (F.col("host") == F.lit(host)).alias("held_out") if host else F.lit(False).alias("held_out"), F.col("label").cast("int").alias("label"), "n_sentences", "n_flagged")
+    sent = rows.sparkSession.sparkContext.broadcast(fitted(units, host))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(*sent.value) if sent.value is not None else None
+        for b in batches:
+            sentences, flagged = Counter(), Counter()
+            for kind, body in zip(b.column("kind").to_pylist(), b.column("body").to_pylist(), strict=True):
+                for of, s, is_title, label in told(kind, body):
+                    if label is not None:
+                        sentences[of, label] += 1
+                        flagged[of, label] += scorer is not None and scorer.score(s, is_title) >= 0
+            keys = list(sentences)
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([sentences[k] for k in keys], pa.int64()), pa.array([flagged[k] for k in keys], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "label", "n", "f"])
+
+    sums = rows.select("kind", "body").mapInArrow(run, "host string, label int, n long, f long")
+    grouped = sums.groupBy("host", "label").agg(F.sum("n").alias("n_sentences"), F.sum("f").alias("n_flagged"))
+    return grouped.select("host", (F.col("host") == F.lit(host)).alias("held_out") if host else F.lit(False).alias("held_out"), "label", "n_sentences", "n_flagged")

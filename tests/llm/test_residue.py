@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import pytest
 
@@ -69,6 +70,14 @@ def test_validation_has_a_held_out_host(spark):
     assert {x.host for x in v if x.held_out} and all(x.n_flagged >= 0.9 * x.n_sentences for x in v if x.label == 1)
 
 
+def test_validation_counts_every_sentence(spark):
+    df = rows(spark)
+    expected = Counter((host, label) for x in df.collect() for host, _, _, label in r.told(x.kind, x.body) if label is not None)
+    got = r.validation(df, sample_rows=300).collect()
+    assert {(x.host, x.label): x.n_sentences for x in got} == expected and sum(expected.values()) > 1800
+    assert all(x.n_flagged <= 0.1 * x.n_sentences for x in got if x.label == 0)
+
+
 def test_sample_is_bounded(spark):
     assert r.labelled(rows(spark), sample_rows=100).count() < r.labelled(rows(spark)).count()
 
