@@ -126,7 +126,7 @@ def shapes(sentence: str) -> list[str]:
 
 def names(sentence: str, is_title: bool) -> set[str]:
     """The features of a sentence by name."""
-    words = tokens(sentence)[:_LONG]
+    words = tokens(sentence)
     return {*words, *map(" ".join, zip(words, words[1:])), *shapes(sentence), f"<len {min(len(words), 24) // 4}>", f"<title {is_title}>"}
 
 
@@ -143,17 +143,17 @@ def features(sentence: str, is_title: bool) -> list[int]:
 
 
 def parts(text: str) -> list[str]:
-    """Sentences and lines of a text, and in long ones the pieces with signs and two words beside; none over _LONG words."""
+    """Sentences and lines of a text, and in long ones the pieces with signs and two words beside; of what is over 4 * _LONG characters, windows of _LONG tokens."""
     out = []
     for s in _SENTENCE.split(text):
         if _SIGNS.search(s):
             t = s.split()
             out += [" ".join(t[max(0, i - 2) : i + 3]) for i, p in enumerate(t) if _SIGNS.search(p)] if len(t) > 6 else []
-        if len(s) <= 4 * _LONG or len(t := s.split()) <= _LONG:
+        if len(s) <= 4 * _LONG or len(at := [m.span() for m in _TOKEN.finditer(s)]) <= _LONG:
             if s.strip():
                 out.append(s)
         else:
-            out += [" ".join(t[i : i + _LONG]) for i in range(0, len(t), _LONG // 2)]
+            out += [s[at[i][0] : at[min(i + _LONG, len(at)) - 1][1]] for i in range(0, len(at), _LONG // 2)]
     return out
 
 

@@ -90,3 +90,12 @@ def test_nulls_empty_and_one_class(spark):
     both = df.unionByName(rows(spark, n=80).select("kind", "row_key", "body")).unionByName(spark.createDataFrame([("content", "long", "Người lao động phải bàn giao hồ sơ trong 5 ngày. " * 20_000)], schema))
     got = {x.row_key: x.probability for x in r.residue_scores(both).collect()}
     assert got["a"] == got["b"] == 0.0 and 0 <= got["long"] < 0.5
+
+
+def test_every_token_of_a_line_is_scored():
+    notice = "Vui lòng bật JavaScript"
+    for filler in ("45/2019/QH14-", "1.2.3.4.", "a b. "[:3]):
+        for n in (12, 20, 400):
+            found = [r.names(s, False) for s in r.parts(filler * n + " " + notice)]
+            assert any({"vui lòng", "bật javascript"} <= f for f in found)
+    assert all(len(r.tokens(s)) <= 60 for s in r.parts("1.2.3." * 400))
