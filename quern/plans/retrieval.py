@@ -142,8 +142,8 @@ def eval_paired_delta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Mean order price with the 95 % interval of 200 Poisson resamples."""
-    return r.bootstrap(table(spark, d, "orders", "o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice", 200, 42)
+    """Mean order price with the 95 % interval of 2,000 Poisson resamples."""
+    return r.bootstrap(table(spark, d, "orders", "o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice", 2000, 42)
 
 
 def eval_stratified(spark: SparkSession, d: str) -> DataFrame:

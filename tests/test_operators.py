@@ -119,6 +119,15 @@ def test_bootstrap_is_stable_and_covers(spark):
     assert a == b and a.low < a.mean < a.high
 
 
+def test_bootstrap_query_takes_all_resamples(spark, data, monkeypatch):
+    from quern.plans import retrieval
+
+    asked = []
+    monkeypatch.setattr(retrieval.r, "bootstrap", lambda df, key, value, samples, seed: asked.append((samples, seed)))
+    retrieval.eval_bootstrap(spark, data)
+    assert asked == [(2000, 42)]
+
+
 def test_ir_metrics(spark):
     ranked = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "a", 3), (2, "x", 1)], "query_id long, id string, rank int")
     relevant = spark.createDataFrame([(1, "b"), (1, "c"), (1, "b"), (2, "y"), (3, "z")], "query_id long, id string")
