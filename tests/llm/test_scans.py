@@ -72,4 +72,44 @@ def test_candidates_against_all_pairs(spark):
     brute = {(a, b) for a in words for b in words if a != b and words[b] >= s.RATIO * words[a] and b.isalpha() and distance(a, b) <= s.FARTHEST}
     assert got == brute and ("làrn", "làm") in got
     texts = spark.createDataFrame([("k", "1", "a b a b"), ("k", "2", "a b")], "kind string, row_key string, text string")
-    assert {(r.a, r.b): r.n for r in counts(texts).collect()} == {("a", None): 3, ("b", None): 3, ("a", "b"): 3, ("b", "a"): 1}
+    told = counts(texts).collect()
+    assert {r.word: r.n for r in told if r.word} == {"a": 3, "b": 3} and sorted(r.n for r in told if r.pair is not None) == [1, 3]
+
+
+@pytest.mark.parametrize("line", ["Tạp chí Lao động  12", "LABOUR GAZETTE | 7", "Bản Tin | Việc làm | trang 14", "BÁO CÁO — Kỳ 7", "(5)", "14 | Sổ Tay Nhân Sự", " ".join(["Tập San Nghiên Cứu"] * 12) + " — Số 4"])
+def test_other_folios(line):
+    assert [n[1] for n in pieces(f"một hai\n{line}\nba bốn")[1]] == [line]
+
+
+@pytest.mark.parametrize("line", ["Giai đoạn 2019 - 2020", "theo Công báo của vùng, số 12", "12   ngày làm việc", "Quyết định 12/2014/TT-BVL", "Điều 12", "bậc 3  400"])
+def test_numbers_at_line_ends_that_stay(line):
+    assert pieces(f"một hai.\n{line}\nBa bốn.")[1] == []
+
+
+def test_headers_without_numbers(spark):
+    """Lines that no shape knows are headers where they interrupt known sentences in several texts; headings and names are not."""
+    cut = "người lao động phải bàn giao\n{}\nhồ sơ trong 5 ngày khi có việc làm mới và được trả lương."
+    rows = [("k", f"h{i}", cut.format("BỘ LUẬT LAO ĐỘNG")) for i in range(4)] + [("k", f"g{i}", cut.format("Tạp chí Việc Làm")) for i in range(2)]
+    rows += [("k", f"t{i}", "người lao động phải bàn giao.\nQUY ĐỊNH RIÊNG\nngười lao động") for i in range(9)]
+    rows += [("k", f"p{i}", "người lao động ở tại\nPhú Yến\nphải bàn giao hồ sơ trong 5 ngày") for i in range(9)]
+    got = {(r[0], r[1]) for r in run(spark, rows)}
+    assert got == {(f"h{i}", "header") for i in range(4)}
+    texts = {r.row_key: r.text for r in repaired_texts(spark.createDataFrame(corpus(rows), "kind string, row_key string, text string")).collect()}
+    assert texts["h1"] == "người lao động phải bàn giao hồ sơ trong 5 ngày khi có việc làm mới và được trả lương." and "RIÊNG" in texts["t1"]
+
+
+def test_long_words_are_repaired(spark):
+    """A word of more than forty letters is in the index like any other, and one of 3,000 too."""
+    for word, wrong in (("pneumonoultramicroscopicsilicovolcanoconiosisx", "pneumonoultramicr0scopicsilicovolcanoconiosisx"), ("ab" * 1500, "ab" * 700 + "ah" + "ab" * 799)):
+        texts = [("k", f"w{i}", f"mắc bệnh {word} khi làm việc") for i in range(25)] + [("k", "x", f"mắc bệnh {wrong} khi làm việc")]
+        got = {(r.row_key, r.meant) for r in repairs(spark.createDataFrame(texts, "kind string, row_key string, text string")).collect()}
+        assert got == {("x", word)}
+
+
+def test_deletes():
+    brute = lambda w: {s.skeleton(w), *(s.skeleton(w)[:i] + s.skeleton(w)[i + 1 :] for i in range(len(s.skeleton(w))))} - {""}
+    words = ["a", "ab", "aab", "lao", "động", "đ0ng", "aaaa", "theo", "tbeo"]
+    for a in words:
+        assert len(s.deletes(a)) == len(brute(a))
+        for b in words:
+            assert bool(s.deletes(a) & s.deletes(b)) == bool(brute(a) & brute(b))
