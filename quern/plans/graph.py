@@ -116,14 +116,11 @@ SQL = {
     "graph_degrees": f"WITH {_REL} SELECT id, sum(o) AS n_out, sum(i) AS n_in, sum(o + i) AS degree FROM (SELECT source AS id, 1 AS o, 0 AS i FROM r UNION ALL SELECT target, 0, 1 FROM r) GROUP BY 1",
     "graph_dangling": f"WITH {_REL} SELECT type, count(*) AS n_edges FROM r WHERE target NOT IN (SELECT id FROM content WHERE id IS NOT NULL) GROUP BY 1",
     "graph_components": f"WITH RECURSIVE {_REL}, u AS (SELECT source AS x, target AS y FROM r UNION SELECT target, source FROM r), reach AS (SELECT x, x AS y FROM u UNION SELECT reach.x, u.y FROM reach JOIN u ON reach.y = u.x) SELECT x AS id, min(y) AS component FROM reach GROUP BY 1",
-    "graph_communities": f"WITH {_REL}, b AS (SELECT source, target FROM r WHERE source <> target UNION SELECT target, source FROM r WHERE source <> target), l0 AS (SELECT DISTINCT source AS id, source AS label FROM b)"
-    + "".join(f", v{i} AS (SELECT source, label, count(*) AS n FROM b JOIN l{i - 1} ON target = id GROUP BY 1, 2), l{i} AS (SELECT source AS id, arg_min(label, (-n, label)) AS label FROM v{i} GROUP BY 1)" for i in (1, 2, 3))
-    + " SELECT id, label FROM l3",
     "graph_two_hops": f"WITH RECURSIVE {_REL}, u AS (SELECT source AS x, target AS y FROM r UNION SELECT target, source FROM r), walk AS (SELECT DISTINCT source AS id, 0 AS hop FROM r WHERE type = 'Văn bản bị thay thế' UNION SELECT u.y, hop + 1 FROM walk JOIN u ON walk.id = u.x WHERE hop < 2) SELECT id, min(hop) AS hop FROM walk GROUP BY 1",
     "graph_quarantine": f"""WITH RECURSIVE {_LATEST}, told AS (SELECT DISTINCT provision_id FROM provisions WHERE trim(coalesce(text, '')) <> '' OR trim(coalesce(heading, '')) <> ''),
  tree AS (SELECT node, 0 AS depth, node IN (SELECT provision_id FROM told) AS ok FROM edges WHERE parent IS NULL UNION ALL SELECT e.node, t.depth + 1, t.ok AND e.node IN (SELECT provision_id FROM told) FROM edges e JOIN tree t ON e.parent = t.node)
  SELECT depth, count(*) AS n_provisions FROM tree WHERE ok GROUP BY 1""",
-    "graph_neighbours": """WITH s AS (SELECT q.vec_id AS source, e.vec_id AS target, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)
+    "graph_neighbours": """WITH s AS (SELECT q.vec_id AS source, e.vec_id AS target, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id)
  SELECT source, target, score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS rn FROM s) WHERE rn <= 5 AND source < target""",
     "graph_star_levels": "WITH nr AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey), cn AS (SELECT * FROM customer JOIN nr ON c_nationkey = n_nationkey), oc AS (SELECT r_name FROM orders JOIN cn ON o_custkey = c_custkey) SELECT r_name AS root, 1 AS level, count(*) AS n FROM nr GROUP BY 1 UNION ALL SELECT r_name, 2, count(*) FROM cn GROUP BY 1 UNION ALL SELECT r_name, 3, count(*) FROM oc GROUP BY 1",
 }

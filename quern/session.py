@@ -19,6 +19,7 @@ def get_spark(app: str = "quern", cpus: str = "*", shuffle_partitions: int = 8)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -35,13 +36,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from the files.
 
     The folder named by ``spark.checkpoint.dir`` is used (shared by all executors,
-    so a lost executor loses nothing). Only where that setting is absent, as in
-    local tests, a temporary folder is set.
+    so a lost executor loses nothing). Where that setting is absent, a local session,
+    as in tests, gets a temporary folder; on a cluster that is an error, as each
+    executor would write to a disk of its own.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
