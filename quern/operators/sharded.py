@@ -30,15 +30,15 @@ def range_shards(df: DataFrame, group: list[str], order: list[str], shards: int
     return checkpointed(placed.withColumn(SHARD, F.spark_partition_id()))
 
 
-def _carry(partial: DataFrame, group: list[str], value) -> DataFrame:
-    """Per (group, shard) of groups that cross a cut: ``value`` over the shards before."""
+def _carry(partial: DataFrame, group: list[str], values: dict) -> DataFrame:
+    """Per (group, shard) of groups that cross a cut: ``values`` over the shards before."""
     across = Window.partitionBy(*group)
     before = across.orderBy(SHARD).rowsBetween(Window.unboundedPreceding, -1)
     return (
         partial.withColumn("__n", F.count(F.lit(1)).over(across))
         .where("__n > 1")
-        .withColumn("__carry", value.over(before))
-        .select(*[F.col(c).alias(f"__g_{c}") for c in group], F.col(SHARD).alias("__g_shard"), "__carry")
+        .withColumns({name: value.over(before) for name, value in values.items()})
+        .select(*[F.col(c).alias(f"__g_{c}") for c in group], F.col(SHARD).alias("__g_shard"), *values)
     )
 
 
@@ -49,43 +49,44 @@ def _with_carry(df: DataFrame, carry: DataFrame, group: list[str]) -> DataFrame:
     return df.join(F.broadcast(carry), on, "left").drop("__g_shard", *[f"__g_{c}" for c in group])
 
 
-def prefix_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str, shards: int | None = None) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over the rows before this one in its group.
+def running(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str], lasts: dict[str, str], shards: int | None = None) -> DataFrame:
+    """Adds running sums and last values, name -> column, in one pass over the shards.
 
-    NULL values count as 0; the first row of a group has 0. Rows equal in group
-    and order are put in some order of their own, so end ``order`` in a unique column.
+    A sum is over the rows before this one in its group (NULL counts as 0, the first
+    row has 0); a last value is the last that is not NULL at or before this row. Rows
+    equal in group and order are put in some order of their own, so end ``order`` in a
+    unique column. With no ``group`` all rows are one.
     """
     placed = range_shards(df, group, order, shards)
-    sums = placed.groupBy(*group, SHARD).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("__sum"))
-    carry = _carry(sums, group, F.sum("__sum"))
+    rank = F.struct(*order)
+    parts = [F.sum(F.coalesce(F.col(v), F.lit(0))).alias(f"__p_{k}") for k, v in sums.items()]
+    parts += [F.max_by(v, F.when(F.col(v).isNotNull(), rank)).alias(f"__p_{k}") for k, v in lasts.items()]
+    partial = placed.groupBy(*group, SHARD).agg(*parts)
+    carried = {f"__c_{k}": F.sum(f"__p_{k}") for k in sums} | {f"__c_{k}": F.last(f"__p_{k}", ignorenulls=True) for k in lasts}
     local = Window.partitionBy(*group, SHARD).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    running = F.coalesce(F.sum(F.coalesce(F.col(value), F.lit(0))).over(local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    result = _with_carry(placed.withColumn(out, running), carry, group)
-    return result.withColumn(out, F.col(out) + F.coalesce("__carry", F.lit(0))).drop("__carry", SHARD)
+    before, up_to = local.rowsBetween(Window.unboundedPreceding, -1), local.rowsBetween(Window.unboundedPreceding, 0)
+    here = {k: F.coalesce(F.sum(F.coalesce(F.col(v), F.lit(0))).over(before), F.lit(0)) for k, v in sums.items()}
+    here |= {k: F.last(v, ignorenulls=True).over(up_to) for k, v in lasts.items()}
+    result = _with_carry(placed.withColumns(here), _carry(partial, group, carried), group)
+    whole = {k: F.col(k) + F.coalesce(f"__c_{k}", F.lit(0)) for k in sums} | {k: F.coalesce(k, f"__c_{k}") for k in lasts}
+    return result.withColumns(whole).drop(SHARD, *carried)
+
+
+def prefix_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str, shards: int | None = None) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows before this one in its group, see ``running``."""
+    return running(df, group, order, {out: value}, {}, shards)
 
 
 def last_value(df: DataFrame, group: list[str], order: list[str], value: str, out: str, shards: int | None = None) -> DataFrame:
     """Adds ``out``: the last non-NULL ``value`` at or before this row in its group, else NULL."""
-    placed = range_shards(df, group, order, shards)
-    rank = F.struct(*order)
-    lasts = placed.where(F.col(value).isNotNull()).groupBy(*group, SHARD).agg(F.max_by(value, rank).alias("__last"))
-    present = placed.select(*group, SHARD).distinct()
-    on = F.col("p." + SHARD) == F.col("l." + SHARD)
-    for c in group:
-        on = on & F.col(f"p.{c}").eqNullSafe(F.col(f"l.{c}"))
-    partial = present.alias("p").join(lasts.alias("l"), on, "left").select("p.*", "l.__last")
-    carry = _carry(partial, group, F.last("__last", ignorenulls=True))
-    local = Window.partitionBy(*group, SHARD).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    running = F.last(value, ignorenulls=True).over(local.rowsBetween(Window.unboundedPreceding, 0))
-    result = _with_carry(placed.withColumn(out, running), carry, group)
-    return result.withColumn(out, F.coalesce(out, "__carry")).drop("__carry", SHARD)
+    return running(df, group, order, {}, {out: value}, shards)
 
 
 def previous_value(df: DataFrame, group: list[str], order: list[str], value: str, out: str, shards: int | None = None) -> DataFrame:
     """Adds ``out``: ``value`` of the row before this one in its group, NULL for the first."""
     placed = range_shards(df, group, order, shards)
     lasts = placed.groupBy(*group, SHARD).agg(F.max_by(F.struct(F.col(value)), F.struct(*order)).alias("__last"))
-    carry = _carry(lasts, group, F.last("__last", ignorenulls=True))
+    carry = _carry(lasts, group, {"__carry": F.last("__last", ignorenulls=True)})
     local = Window.partitionBy(*group, SHARD).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     first = F.row_number().over(local) == 1
     result = _with_carry(placed.withColumn("__first", first).withColumn(out, F.lag(value).over(local)), carry, group)

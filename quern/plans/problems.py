@@ -20,7 +20,7 @@ def _nodes(spark: SparkSession, d: str, with_path: bool) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Root and depth of every provision; CYCLE and -1 on or below a circle."""
-    return _nodes(spark, d, False).select(F.col("node").alias("provision_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"))
+    return hierarchy(table(spark, d, "provisions", "provision_id", "parent_id", "ingested_at"), "provision_id", "parent_id", "ingested_at", with_path=False).select(F.col("node").alias("provision_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"))
 
 
 def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
