@@ -18,9 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quern.session import checkpointed
 
@@ -56,6 +57,7 @@ _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _DIGITS = re.compile(r"\d+")
 _SIGNS = re.compile(r"[^\w\s.,;:!?()\"'/-]|__|\[")
 _UPPER, _LOWER = re.compile(r"[A-ZĐÀ-ÝĂÂÊÔƠƯ](?:[^\W\d]*[^\W\d_])?"), re.compile(r"[a-zđà-ỹ](?:[^\W\d]*[^\W\d_])?")
+_PLACEHOLDER_SIGN = re.compile(r"[{<%@_«\[]|TODO")
 _LONG = 60
 _BROKEN = re.compile(r"""["'](\w+)["']\s*:\s*(["'])(.*?)(?:(?<!\\)\2\s*[,}\]]|$)""", re.S)
 
@@ -124,22 +126,70 @@ def shapes(sentence: str) -> list[str]:
     return ["<" + _UPPER.sub("A", _LOWER.sub("a", _DIGITS.sub("0", p))) + ">" for p in sentence.split() if _SIGNS.search(p)]
 
 
-def names(sentence: str, is_title: bool) -> set[str]:
-    """The features of a sentence by name."""
-    words = tokens(sentence)
-    return {*words, *map(" ".join, zip(words, words[1:])), *shapes(sentence), f"<len {min(len(words), 24) // 4}>", f"<title {is_title}>"}
+def _hash(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass"))
 
 
-def bucket(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+class Features:
+    """Buckets of the features of many sentences at once.
 
-
-def features(sentence: str, is_title: bool) -> list[int]:
-    """Buckets of the sentence's one- and two-grams, joined shapes like {{a}} or @A.a, length class and title flag.
-
-    A bucket that two features share is named twice, so that both count.
+    A piece between spaces is cut into words and signs once; after that a sentence is
+    a row of numbers, and its one- and two-grams are hashed in flat arrays. The
+    buckets of two-grams follow from the hashes of both words.
     """
-    return sorted(map(bucket, names(sentence, is_title)))
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.words, self.starts, self.signs = [], [], []
+        self.flat = (np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.int64))
+
+    def piece(self, raw: str) -> int:
+        number = self.number[raw] = len(self.number)
+        self.words += map(_hash, tokens(raw))
+        self.starts.append(len(self.flat[0]) + len(self.words))
+        shape = shapes(raw)
+        self.signs.append(_hash(shape[0]) if shape else -1)
+        return number
+
+    def __call__(self, sentences: list[str], titles: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """(sentence, bucket) of all features, sorted, each pair once.
+
+        Features are one- and two-grams of words and signs, shapes like {{a}} or
+        %%A%%, the class of the length, and whether it is a title.
+        """
+        if len(self.number) > 300_000:
+            self.clear()
+        known, piece = self.number, self.piece
+        split = [s.split() for s in sentences]
+        flat = [known[p] if p in known else piece(p) for s in split for p in s]
+        pieces = np.array(flat, np.int64)
+        of = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
+        if self.starts:
+            # only what is new is turned into an array
+            new = np.array(self.words, np.uint64), np.array(self.starts, np.int64), np.array(self.signs, np.int64)
+            self.flat = tuple(np.concatenate(x) for x in zip(self.flat, new, strict=True))
+            self.words, self.starts, self.signs = [], [], []
+        words, starts, signs = self.flat
+        n = (starts[1:] - starts[:-1])[pieces]
+        ends = np.cumsum(n)
+        token = words[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[:-1][pieces] - (ends - n), n)]
+        owner = np.repeat(of, n)
+        pair = owner[:-1] == owner[1:]
+        two = (token[:-1] * np.uint64(0x9E3779B97F4A7C15) + token[1:] * np.uint64(0xC2B2AE3D27D4EB4F))[pair] >> np.uint64(40)
+        signed = signs[pieces]
+        shown = signed >= 0
+        every = np.arange(len(split))
+        length = np.array([_hash(f"<len {k}>") for k in range(7)], np.uint64)[np.minimum(np.bincount(owner, minlength=len(split)), 24) // 4]
+        title = np.array([_hash("<title False>"), _hash("<title True>")], np.uint64)[np.array(titles, np.int64)]
+        owners = np.concatenate([owner, owner[:-1][pair], of[shown], every, every])
+        buckets = np.concatenate([token, two, signed[shown].astype(np.uint64), length, title]) & np.uint64(BUCKETS - 1)
+        both = owners * BUCKETS + buckets.astype(np.int64)
+        both.sort()
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+        return both // BUCKETS, both % BUCKETS
 
 
 def parts(text: str) -> list[str]:
@@ -172,8 +222,7 @@ def weak_label(sentence: str, status: int) -> int | None:
     used; where an error response has no known phrase at all, the status decides and
     all its sentences count as residue (see ``_units``).
     """
-    opening, placeholder = bool(OPENING.match(sentence.strip())), bool(PLACEHOLDER.search(sentence))
-    if placeholder or opening or is_filler(sentence):
+    if (_PLACEHOLDER_SIGN.search(sentence) and PLACEHOLDER.search(sentence)) or OPENING.match(sentence.strip()) or is_filler(sentence):
         return 1
     if MENTION.search(sentence):
         return 0 if len(tokens(sentence)) >= 12 and status < 400 else None
@@ -191,24 +240,26 @@ def told(kind: str, body: str | None) -> Iterator[tuple[str, str, bool, int | No
 
 
 def _units(rows: DataFrame) -> DataFrame:
-    """Labelled sentences (host, label, features as indices) of sampled rows."""
+    """Labelled sentences (host, label, indices of the features) of sampled rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        featured = Features()
         for b in batches:
-            host_of, label_of, index_of, key_of = [], [], [], []
+            host_of, label_of, kept, titles = [], [], [], []
             seen: set[tuple[str, int]] = set()
             for kind, text in zip(b.column("kind").to_pylist(), b.column("body").to_pylist(), strict=True):
                 for host, s, is_title, label in told(kind, text):
-                    if label is None or (label == 0 and len(s) > 60 and zlib.crc32(s.encode("utf-8", "surrogatepass")) % 8 and not MENTION.search(s)):
+                    if label is None or (s, label) in seen or (label == 0 and len(s) > 60 and _hash(s) % 8 and not MENTION.search(s)):
                         continue  # plain long sentences abound: an eighth of them is plenty
-                    if (s, label) in seen:
-                        continue
                     seen.add((s, label))
                     host_of.append(host)
                     label_of.append(float(label))
-                    index_of.append(features(s, is_title))
-                    key_of.append(zlib.crc32(s.encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([pa.array(host_of, pa.string()), pa.array(label_of, pa.float64()), pa.array(index_of, pa.list_(pa.int32())), pa.array(key_of, pa.int64())], names=["host", "label", "index", "key"])
+                    kept.append(s)
+                    titles.append(is_title)
+            owner, bucket = featured(kept, titles)
+            offsets = np.searchsorted(owner, np.arange(len(kept) + 1)).astype(np.int32)
+            index = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bucket, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(host_of, pa.string()), pa.array(label_of, pa.float64()), index, pa.array(list(map(_hash, kept)), pa.int64())], names=["host", "label", "index", "key"])
 
     return rows.mapInArrow(run, "host string, label double, index array<int>, key long")
 
@@ -223,12 +274,6 @@ def labelled(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     return checkpointed(kept[0].unionByName(kept[1]))
 
 
-@F.udf(VectorUDT())
-def _vector(index):
-    counted = Counter(index)
-    return Vectors.sparse(BUCKETS, sorted(counted), [float(counted[i]) for i in sorted(counted)])
-
-
 def held_out_host(units: DataFrame) -> str | None:
     """The host kept out of training: of at least two, the one whose hash is least."""
     hosts = units.where("host <> ''").groupBy("host").count().orderBy(F.xxhash64("host")).limit(2).collect()
@@ -240,37 +285,48 @@ def fitted(units: DataFrame, without_host: str | None) -> tuple[np.ndarray, floa
     train = units.where(F.lit(without_host).isNull() | (F.col("host") != F.lit(without_host)))
     if train.select("label").distinct().count() < 2:
         return None
-    model = LogisticRegression(regParam=PENALTY, maxIter=60, standardization=False, aggregationDepth=2).fit(train.select("label", _vector("index").alias("features")).coalesce(4))
+    # a vector is written as its parts: their ones, dense, would be BUCKETS numbers a row
+    model = LogisticRegression(regParam=PENALTY, maxIter=60, standardization=False, aggregationDepth=2).fit(_vectors(train).coalesce(4))
     return model.coefficients.toArray(), float(model.intercept)
 
 
-class _Weights(dict):
-    """Feature -> weight, looked up by its bucket on first use; forgotten when there are too many."""
+def _vectors(units: DataFrame) -> DataFrame:
+    """(label, features): the indices as sparse vectors with ones."""
 
-    def __init__(self, weights: np.ndarray):
-        super().__init__()
-        self.by_bucket = weights.tolist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            index = b.column("index")
+            values = pa.ListArray.from_arrays(index.offsets, pa.array(np.ones(len(index.values))))
+            kind, size = pa.array(np.zeros(len(b), np.int8)), pa.array(np.full(len(b), BUCKETS, np.int32))
+            vector = pa.StructArray.from_arrays([kind, size, index, values], names=["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([b.column("label"), vector], names=["label", "features"])
 
-    def __missing__(self, name: str) -> float:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[name] = self.by_bucket[bucket(name)]
-        return value
+    return units.select("label", "index").mapInArrow(run, StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())]))
+
+
+#: Characters of sentences that are scored at once.
+CHUNK = 2_000_000
 
 
-class _Scorer:
-    """Scores sentences; one that was met before costs one lookup."""
+def _scores(told_of: Iterator[tuple[object, str, bool]], model: tuple[np.ndarray, float], featured: Features) -> Iterator[tuple[list, np.ndarray]]:
+    """(owners, scores) of sentences (owner, sentence, is title), in blocks of about CHUNK characters."""
+    weights, intercept = model
 
-    def __init__(self, weights: np.ndarray, intercept: float):
-        self.weights, self.intercept, self.met = _Weights(weights), intercept, {}
+    def block() -> tuple[list, np.ndarray]:
+        owner, bucket = featured(sentences, titles)
+        return owners, intercept + np.bincount(owner, weights[bucket], len(sentences))
 
-    def score(self, sentence: str, is_title: bool) -> float:
-        got = self.met.get((sentence, is_title))
-        if got is None:
-            if len(self.met) > 50_000:
-                self.met.clear()
-            got = self.met[sentence, is_title] = self.intercept + sum(map(self.weights.__getitem__, names(sentence, is_title)))
-        return got
+    owners, sentences, titles, n = [], [], [], 0
+    for of, s, is_title in told_of:
+        owners.append(of)
+        sentences.append(s)
+        titles.append(is_title)
+        n += len(s)
+        if n > CHUNK:
+            yield block()
+            owners, sentences, titles, n = [], [], [], 0
+    if sentences:
+        yield block()
 
 
 def residue_scores(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -286,17 +342,15 @@ def residue_scores(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(*sent.value) if sent.value is not None else None
+        featured = Features()
         for b in batches:
-            out = []
-            for kind, body in zip(b.column("kind").to_pylist(), b.column("body").to_pylist(), strict=True):
-                best = -np.inf
-                if scorer and body:
-                    for is_title, t in fetched_texts(body) if kind == "evidence" else [(False, body)]:
-                        for s in parts(t):
-                            best = max(best, scorer.score(s, is_title))
-                out.append(1 / (1 + np.exp(-best)) if best > -700 else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("row_key"), pa.array(out, pa.float64())], names=["kind", "row_key", "probability"])
+            best = np.full(len(b), -np.inf)
+            if sent.value is not None:
+                bodies = zip(b.column("kind").to_pylist(), b.column("body").to_pylist(), strict=True)
+                all_told = ((i, s, is_title) for i, (kind, body) in enumerate(bodies) if body for is_title, t in (fetched_texts(body) if kind == "evidence" else [(False, body)]) for s in parts(t))
+                for owners, scores in _scores(all_told, sent.value, featured):
+                    np.maximum.at(best, np.array(owners), scores)
+            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("row_key"), pa.array(1 / (1 + np.exp(-np.clip(best, -700, 700))) * (best > -700))], names=["kind", "row_key", "probability"])
 
     return rows.select("kind", "row_key", "body").mapInArrow(run, "kind string, row_key string, probability double")
 
@@ -313,14 +367,14 @@ def validation(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(fitted(units, host))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(*sent.value) if sent.value is not None else None
+        featured = Features()
         for b in batches:
             sentences, flagged = Counter(), Counter()
-            for kind, body in zip(b.column("kind").to_pylist(), b.column("body").to_pylist(), strict=True):
-                for of, s, is_title, label in told(kind, body):
-                    if label is not None:
-                        sentences[of, label] += 1
-                        flagged[of, label] += scorer is not None and scorer.score(s, is_title) >= 0
+            bodies = zip(b.column("kind").to_pylist(), b.column("body").to_pylist(), strict=True)
+            all_told = (((of, label), s, is_title) for kind, body in bodies for of, s, is_title, label in told(kind, body) if label is not None)
+            for owners, scores in _scores(all_told, sent.value or (np.zeros(BUCKETS), -1.0), featured):
+                sentences.update(owners)
+                flagged.update(k for k, score in zip(owners, scores.tolist(), strict=True) if score >= 0)
             keys = list(sentences)
             columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([sentences[k] for k in keys], pa.int64()), pa.array([flagged[k] for k in keys], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["host", "label", "n", "f"])

@@ -96,6 +96,19 @@ def test_every_token_of_a_line_is_scored():
     notice = "Vui lòng bật JavaScript"
     for filler in ("45/2019/QH14-", "1.2.3.4.", "a b. "[:3]):
         for n in (12, 20, 400):
-            found = [r.names(s, False) for s in r.parts(filler * n + " " + notice)]
-            assert any({"vui lòng", "bật javascript"} <= f for f in found)
+            found = [" ".join(r.tokens(s)) for s in r.parts(filler * n + " " + notice)]
+            assert any("vui lòng" in f and "bật javascript" in f for f in found)
     assert all(len(r.tokens(s)) <= 60 for s in r.parts("1.2.3." * 400))
+
+
+def test_features_of_many_sentences_are_those_of_each():
+    sentences = ["Số: {{so_hieu}} của", "", "a b a b", "  Điều 5, khoản 12.  ", "x" * 500, "a b a b"]
+    titles = [False, True, False, False, True, False]
+    featured = r.Features()
+    owner, bucket = featured(sentences, titles)
+    for i, (s, t) in enumerate(zip(sentences, titles, strict=True)):
+        alone = r.Features()([s], [t])[1].tolist()
+        assert bucket[owner == i].tolist() == alone == sorted(set(alone))
+    # words, pairs, length class and title flag; a repeated pair counts once
+    assert len(r.Features()(["a b a b"], [False])[1]) == 2 + 2 + 2 and len(r.Features()([""], [True])[1]) == 2
+    assert featured([], [])[0].tolist() == []
