@@ -155,8 +155,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, gram: int = GRAM, window: in
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", (-F.col("item_start")).alias("s"))).alias("b")).select("doc_id", "item_id", (-F.col("b.s")).alias("item_start"), "b.n_words")
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
-    """Ids and texts of a batch in pieces of about PIECE_BYTES bytes."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
+    """Ids, texts and further columns of a batch in pieces of about PIECE_BYTES bytes of text."""
     for b in batches:
         ids, texts = b.column(0).to_pylist(), b.column(1)
         sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
@@ -164,5 +164,5 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list
         while start < len(ids):
             base = sizes[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(sizes, base + PIECE_BYTES, "right")))
-            yield ids[start:end], texts.slice(start, end - start).to_pylist()
+            yield ids[start:end], *[c.slice(start, end - start).to_pylist() for c in (texts, *b.columns[2:])]
             start = end

@@ -108,12 +108,12 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Keyword-stuffed, link-list and tag pages."""
-    return spam(table(spark, d, "documents", "doc_id", "text"))
+    return spam(table(spark, d, "documents", "doc_id", "text", "lang"))
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     """Language, words, robust distance and direction of every document."""
-    s = spam_scores(table(spark, d, "documents", "doc_id", "text"))
+    s = spam_scores(table(spark, d, "documents", "doc_id", "text", "lang"))
     return s.select("doc_id", "language", "n_words", F.round("distance2", 2).alias("distance2"), F.round("toward", 3).alias("toward"))
 
 

@@ -21,16 +21,24 @@ FUNCTION_WORDS = {
     "en": "the of and to in a is that for on with as by at from be are or an it this not may shall must which has was have no more than when where each any their its after before".split(),
     "fr": "le la les de des du et en un une est pour que qui dans par sur au aux avec ne pas ce se sa son ses ou il elle sont plus cette leur tout chaque avant après sans sauf d l".split(),
 }
-LANGUAGES = tuple(FUNCTION_WORDS)
+#: Languages that are told apart; ``other`` is any without a word list.
+LANGUAGES = (*FUNCTION_WORDS, "other")
+#: Share of function words below which a language given beside the text counts more than the words.
+LEAST_SHARE = 0.1
 #: Statistics of a text, with the sign of the direction in which spam lies.
 FEATURES = {"function_share": -1, "entropy": -1, "repetition": 1, "collision": 1, "links": 1, "separators": 1, "prose": -1}
 #: Quantile of the chi-square distribution that the squared distance must pass, by Wilson-Hilferty.
 NORMAL_QUANTILE = 12.0
+#: Least texts of a language by which it has a centre and scale of its own.
+LEAST_TEXTS = 100
 #: Re-estimations of centre and scatter from the texts that lie within the 97.5 % ellipsoid.
 ROUNDS = 2
+#: A text of so many words shows half of its deviation squared: the statistics of few words scatter widely.
+HALF_WORDS = 20
 
 _WORD = re.compile(r"\w+")
 _LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|#\w+|</?a\b[^>]*>")
+_VIETNAMESE, _FRENCH, _LATIN = re.compile("[ăđơưẠ-ỹ]", re.I), re.compile("[éèêëàâçùûîïôœ]", re.I), re.compile("[a-z]", re.I)
 _CUT = re.compile(r"[.,;:!?|•\n]+(?=\s|$)|\n|\|")
 
 
@@ -47,10 +55,23 @@ class _Words(dict):
         return value
 
 
-def statistics(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def told_language(text: str, given: str | None) -> str:
+    """Language of a text that function words do not tell: Vietnamese letters, what is given, accents, letters."""
+    given = (given or "").strip().lower()[:3]
+    if _VIETNAMESE.search(text):
+        return "vi"
+    if given not in ("", "und"):
+        return given if given in FUNCTION_WORDS else "other"
+    return "fr" if _FRENCH.search(text) else "en" if _LATIN.search(text) else "other"
+
+
+def statistics(texts: list[str], given: list[str | None] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words of each text, language number, FEATURES of each text) of many texts at once.
 
     Logarithms and roots make the statistics comparable between short and long texts.
+    The language is that of most function words, and where there are few of them what
+    letters and ``given`` tell; the share of function words counts those of all
+    languages, as texts may be mixed.
     """
     docs = len(texts)
     numbers = _Words()
@@ -75,11 +96,15 @@ def statistics(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = np.fromiter((numbers[w] for s in split for w in s), np.int64, int(lengths.sum()))
     doc = np.repeat(np.arange(docs), lengths)
     n = np.maximum(lengths, 1)
-    kinds = np.zeros((len(LANGUAGES), len(numbers) + 1))
+    kinds = np.zeros((len(FUNCTION_WORDS), len(numbers) + 1))
     for k, words in enumerate(FUNCTION_WORDS.values()):
         kinds[k, [numbers[w] for w in words if w in numbers]] = 1
-    shares = np.stack([np.bincount(doc, kinds[k, flat], docs) for k in range(len(LANGUAGES))]) / n
-    language = shares.argmax(0)
+    shares = np.stack([np.bincount(doc, kinds[k, flat], docs) for k in range(len(FUNCTION_WORDS))]) / n
+    language, most = shares.argmax(0), shares.max(0)
+    for i in np.flatnonzero(most < LEAST_SHARE):
+        told = told_language(texts[i], given[i] if given else None)
+        language[i] = LANGUAGES.index(told) if most[i] == 0 or told == "other" else language[i]
+    function = np.bincount(doc, kinds.max(0)[flat], docs) / n
 
     width = len(numbers) + 1
 
@@ -105,7 +130,7 @@ def statistics(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pairs = np.maximum(lengths - 1, 1)
     values = np.stack(
         [
-            np.sqrt(shares.max(0)),
+            np.sqrt(function),
             entropy,
             1 - distinct / pairs,
             np.log1p(200 * equal / np.maximum(pairs * (pairs - 1.0), 1)),
@@ -119,52 +144,73 @@ def statistics(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, language, FEATURES...) of every text that is not NULL; blank ones have 0 words."""
+    """(doc_id, n_words, language, FEATURES...) of every text that is not NULL; blank ones have 0 words.
+
+    A column ``lang``, where there is one, tells the language of texts without function words.
+    """
     names = ["doc_id", "n_words", "language", *FEATURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _pieces(batches):
-            words, language, values = statistics(texts)
+        for ids, texts, given in _pieces(batches):
+            words, language, values = statistics(texts, given)
             columns = [pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array([LANGUAGES[k] for k in language], pa.string()), *[pa.array(v) for v in values.T]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang"))
     return rows.mapInArrow(run, "doc_id long, n_words long, language string, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
+def _each(rows: DataFrame, usual: Column, *aggregates: Column) -> dict[str, dict]:
+    """``aggregates`` by language and, under "", over all rows: one row per language reaches the driver.
+
+    A language of fewer than LEAST_TEXTS ``usual`` rows is left out, so that it is
+    measured against all texts: a few pages, all of them spam perhaps, are no measure.
+    """
+    got = [r.asDict() for r in rows.rollup("language").agg(F.count_if(usual).alias("n"), *aggregates).collect()]
+    return {r["language"] or "": r for r in got if not r["language"] or r["n"] >= LEAST_TEXTS}
+
+
+def _by_language(values: dict[str, float]) -> Column:
+    """The number of each row's language, that of all texts for one without."""
+    out = F.lit(values.get("")).cast("double")
+    for k, v in values.items():
+        if k:
+            out = F.when(F.col("language") == k, F.lit(float(v))).otherwise(out)
+    return out
+
+
 def _scaled(stats: DataFrame) -> DataFrame:
     """FEATURES as (value - median) / scale within the language; scale from the median deviation.
 
-    A statistic that is the same for half of the texts would have scale 0; it gets a
-    floor, the tenth of its 1-99 % range, or 0.05.
+    Texts without any function word make no language of their own. A statistic that is the same for half of the texts would have scale 0; it gets a floor, the
+    tenth of its 1-99 % range, or 0.02. Deviations of short texts are reduced by
+    HALF_WORDS.
     """
-    med = stats.groupBy("language").agg(*[F.percentile_approx(f, [0.5, 0.01, 0.99], 2000).alias(f"m_{f}") for f in FEATURES])
-    at = stats.join(F.broadcast(med), "language")
-    mad = at.groupBy("language").agg(
-        *[F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")[0]), 0.5, 2000), F.first(0.1 * (F.col(f"m_{f}")[2] - F.col(f"m_{f}")[1])), F.lit(0.02)).alias(f"s_{f}") for f in FEATURES]
-    )
-    return at.join(F.broadcast(mad), "language").select("doc_id", "n_words", "language", *[((F.col(f) - F.col(f"m_{f}")[0]) / F.col(f"s_{f}")).alias(f) for f in FEATURES])
+    usual = (F.col("function_share") > 0) | (F.col("language") == "other")
+    med = _each(stats, usual, *[F.percentile_approx(f, [0.5, 0.01, 0.99], 2000).alias(f) for f in FEATURES])
+    centre = {f: {k: r[f][0] for k, r in med.items() if r[f]} for f in FEATURES}
+    mad = _each(stats, usual, *[F.percentile_approx(F.abs(F.col(f) - _by_language(centre[f])), 0.5, 2000).alias(f) for f in FEATURES])
+    scale = {f: {k: max(1.4826 * mad[k][f], 0.1 * (r[f][2] - r[f][1]), 0.02) for k, r in med.items() if r[f]} for f in FEATURES}
+    weight = F.col("n_words") / F.hypot(F.col("n_words"), F.lit(HALF_WORDS))
+    return stats.select("doc_id", "n_words", "language", *[(weight * (F.col(f) - _by_language(centre[f])) / _by_language(scale[f])).alias(f) for f in FEATURES])
 
 
 def _moments(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Centre and scatter of each language: one aggregate of a few sums, whatever the rows."""
     names = list(FEATURES)
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    got = rows.groupBy("language").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in names], *[F.avg(F.col(names[i]) * F.col(names[j])).alias(f"c{i}_{j}") for i, j in pairs])
     out = {}
-    for r in got.collect():  # one row per language
+    for k, r in _each(rows, F.lit(True), *[F.avg(f).alias(f) for f in names], *[F.avg(F.col(names[i]) * F.col(names[j])).alias(f"c{i}_{j}") for i, j in pairs]).items():
+        if not r["n"]:
+            continue
         centre = np.array([r[f] for f in names])
         scatter = np.zeros((len(names),) * 2)
         for i, j in pairs:
             scatter[i, j] = scatter[j, i] = r[f"c{i}_{j}"] - centre[i] * centre[j]
-        out[r.language] = (centre, scatter + np.eye(len(names)) * 0.05)
+        out[k] = (centre, scatter + np.eye(len(names)) * 0.05)
     return out
 
 
-def _by_language(values: dict[str, float]) -> Column:
-    return F.coalesce(*[F.when(F.col("language") == k, F.lit(float(v))) for k, v in values.items()]) if values else F.lit(None).cast("double")
-
-
 def _distance(moments: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[Column, Column]:
     """Squared Mahalanobis distance, and how far the deviation lies in the spam direction (its cosine)."""
     names, signs = list(FEATURES), np.array(list(FEATURES.values()))
@@ -202,11 +248,9 @@ def spam_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 #: Cosine with the spam direction from which an outlier counts as spam.
 TOWARD = 0.25
-#: Texts with fewer words are too short to tell stuffing from a title.
-LEAST_WORDS = 12
 
 
 def spam(docs: DataFrame) -> DataFrame:
     """doc_id of keyword-stuffed, link-list and tag pages: far outliers that lie toward spam."""
     limit = chi_square(NORMAL_QUANTILE, len(FEATURES))
-    return spam_scores(docs).where((F.col("distance2") > limit) & (F.col("toward") > TOWARD) & (F.col("n_words") >= LEAST_WORDS)).select("doc_id").distinct()
+    return spam_scores(docs).where((F.col("distance2") > limit) & (F.col("toward") > TOWARD)).select("doc_id").distinct()

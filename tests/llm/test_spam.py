@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from quern.llm.spam import FEATURES, chi_square, spam, spam_scores, statistics
+from quern.llm.spam import FEATURES, LANGUAGES, chi_square, spam, spam_scores, statistics
 
 SUBJECTS = ["Người lao động", "Người sử dụng lao động", "Hội đồng cơ sở", "Tổ chức đại diện", "Kế toán tiền lương"]
 VERBS = ["có quyền xác nhận", "phải bàn giao", "không được từ chối", "có thể kiểm tra", "cần báo cáo về"]
@@ -31,6 +31,19 @@ def test_planted_pages_are_found_and_no_other(spark):
     assert len([r for r in scores if r.distance2 is None]) == 2 and len(scores) == len(corpus()) - 1
 
 
+def test_short_link_pages_are_found_and_short_notes_are_not(spark):
+    """No least length: eleven tags are a tag page, four words and a date are none."""
+    docs = corpus() + [(700, " ".join(f"#viec_lam_{i}" for i in range(11))), (701, "(Cập nhật ngày 12/11.)"), (702, "Xem thêm: Điều 5."), (703, "https://a.example/1 https://a.example/2 https://b.example/3 https://b.example/4 https://b.example/5 https://c.example/6")]
+    got = {r.doc_id for r in spam(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {600, 601, 602, 603, 700, 703}
+
+
+def test_language_without_function_words():
+    assert [LANGUAGES[k] for k in statistics(["cheap shoes buy now", "giày mũi sắt", "chaussures bon marché", "дешевые ботинки", "billige Schuhe kaufen", "cheap shoes"], [None, "en", "und", "", "de", "fr"])[1]] == ["en", "vi", "fr", "other", "other", "fr"]
+    mixed = statistics(["người lao động phải the payroll unit shall extend the plan le salarié est tenu"])[2][0][0]
+    assert mixed > statistics(["người lao động phải payroll unit extend plan salarié tenu"])[2][0][0]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert spam(df).count() == 0
