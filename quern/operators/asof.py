@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.session import shuffle_partitions
+from quern.session import checkpointed, shuffle_partitions
 
 #: Rows of one entity beyond which it is cut into time shards of about this size.
 SHARD_ROWS = 20_000
@@ -46,11 +46,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def as_known(events: DataFrame, versions: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(entity, event, version): for each event the version valid and known at its day.
 
-    ``events``: entity, event (string), day. ``versions``: entity, version (bigint),
-    start, end, known_day, known (all integers; end exclusive). Of several, the one
-    with the latest start, then known, then version wins; events without one give no
-    row. NULL in entity or day of an event, or in any field of a version, leaves the
-    row out. Repeated rows count once.
+    ``events``: entity, event (of any type that can be compared), day. ``versions``:
+    entity, version (bigint), start, end, known_day, known (all integers; end
+    exclusive). Of several, the one with the latest start, then known, then version
+    wins; events without one give no row. NULL in entity or day of an event, or in any
+    field of a version, leaves the row out. Repeated rows count once.
 
     The answer depends on entity and day alone, so each day is asked once per entity
     and the answers are joined back to the events: an entity that a third of all
@@ -58,14 +58,15 @@ def as_known(events: DataFrame, versions: DataFrame, shard_rows: int = SHARD_ROW
     and end only the best is kept.
 
     Entities that still have more than ``shard_rows`` rows are cut into shards of time
-    of about that many; the cuts are at most all rows / ``shard_rows``, which bounds
-    their broadcast. A version that may still win after its shard is carried into the
-    later shards that it reaches: within one shard only those that no better version
-    outlives. Shards are then merged each on its own.
+    of about that many. The shard of a day is joined by entity and day, as the days
+    of all rows and ends are at hand; nothing is broadcast by hint. A version that may
+    still win after its shard is carried into the later shards that it reaches: within
+    one shard only those that no better version outlives. Shards are then merged each
+    on its own.
     """
     asked = events.where("entity IS NOT NULL AND day IS NOT NULL AND event IS NOT NULL").select("entity", "event", "day").distinct()
     best = F.max(F.struct("start", "known", "version"))
-    usable = (
+    usable = checkpointed(
         versions.select("entity", "version", "start", "end", "known_day", "known").dropna()
         .withColumn("day", F.greatest("start", "known_day"))
         .where("day < end")
@@ -73,27 +74,28 @@ def as_known(events: DataFrame, versions: DataFrame, shard_rows: int = SHARD_ROW
         .select("entity", "day", "end", "b.start", "b.known", "b.version")
     )
     wanted = asked.select("entity", "day").distinct()
-    daily = wanted.unionByName(usable.select("entity", "day")).groupBy("entity", "day").agg(F.count(F.lit(1)).alias("n"))
+    days = wanted.select("entity", "day", F.lit(1).alias("n")).unionByName(usable.select("entity", "day", F.lit(1).alias("n"))).unionByName(usable.select("entity", (F.col("end") - 1).alias("day"), F.lit(0).alias("n")))
+    daily = days.groupBy("entity", "day").agg(F.sum("n").alias("n"))
     large = daily.groupBy("entity").agg(F.sum("n").alias("n")).where(F.col("n") > shard_rows).select("entity")
+    # one row per entity and calendar day
     so_far = F.coalesce(F.sum("n").over(Window.partitionBy("entity").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cuts = daily.join(F.broadcast(large), "entity").withColumn("shard", F.floor(so_far / shard_rows)).groupBy("entity", "shard").agg(F.min("day").alias("cut"))
-    cuts = cuts.where("shard > 0").groupBy("entity").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
-    cuts = F.broadcast(cuts)
-    shard_of = lambda day: F.coalesce(F.size(F.filter("cuts", lambda c: c <= day)), F.lit(0))
-    questions = wanted.join(cuts, "entity", "left").select("entity", shard_of(F.col("day")).alias("shard"), "day", F.lit(1).alias("kind"))
-    placed = usable.join(cuts, "entity", "left").withColumn("shard", shard_of(F.col("day")))
-    # Carry-in of cut entities: of a shard's versions, those no better version outlives.
-    better = Window.partitionBy("entity", "shard").orderBy(F.desc("start"), F.desc("known"), F.desc("version")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        placed.where("cuts IS NOT NULL")
-        .withColumn("outlived", F.max("end").over(better))
-        .withColumn("last", shard_of(F.col("end") - 1))
-        .where("(outlived IS NULL OR end > outlived) AND last > shard")
-        .withColumn("shard", F.explode(F.sequence(F.col("shard") + 1, F.col("last"))))
-    )
-    fields = ["entity", "shard", "day", "end", "start", "known", "version"]
-    versions_by_shard = placed.select(*fields).unionByName(carried.select(*fields)).withColumn("kind", F.lit(0))
-    merged = versions_by_shard.unionByName(questions, allowMissingColumns=True).select("entity", "shard", "day", "kind", "end", "start", "known", "version")
+    shards = checkpointed(daily.join(large, "entity").select("entity", "day", F.floor(so_far / shard_rows).cast("int").alias("shard")))
+    if shards.limit(1).count():
+        at = lambda df: df.join(shards, ["entity", "day"], "left").withColumn("shard", F.coalesce("shard", F.lit(0)))
+        questions, placed = at(wanted), at(usable)
+        reach = shards.select("entity", (F.col("day") + 1).alias("end"), F.col("shard").alias("last"))
+        # Carry-in of cut entities: of a shard's versions, those no better version outlives.
+        better = Window.partitionBy("entity", "shard").orderBy(F.desc("start"), F.desc("known"), F.desc("version")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = (
+            placed.join(reach, ["entity", "end"])
+            .withColumn("outlived", F.max("end").over(better))
+            .where("(outlived IS NULL OR end > outlived) AND last > shard")
+            .withColumn("shard", F.explode(F.sequence(F.col("shard") + 1, F.col("last"))))
+        )
+        placed = placed.unionByName(carried.select(*placed.columns))
+    else:
+        questions, placed = wanted.withColumn("shard", F.lit(0)), usable.withColumn("shard", F.lit(0))
+    merged = placed.withColumn("kind", F.lit(0)).unionByName(questions.withColumn("kind", F.lit(1)), allowMissingColumns=True).select("entity", "shard", "day", "kind", "end", "start", "known", "version")
     n = shuffle_partitions(events.sparkSession)
     answers = merged.repartition(n, "entity", "shard").sortWithinPartitions("entity", "shard", "day", "kind").mapInArrow(_merge, _OUT)
     return asked.join(answers, ["entity", "day"]).select("entity", "event", "version")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.dates import DATE_SQL, parse_date
-from quern.operators.asof import as_known
+from quern.operators.asof import SHARD_ROWS, as_known
 from quern.operators.hierarchy import descendants, hierarchy
 from quern.operators.intervals import day_number, periods_and_gaps, usable_intervals
 from quern.operators.references import live_runs, micros, orphans, reference_rows
@@ -70,23 +70,32 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return periods_and_gaps(table(spark, d, "gold120_source_excerpts", "unit_id", "valid_from", "valid_to"), "unit_id", "valid_from", "valid_to")
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """For each dated question and unit the excerpt valid and known at the question's date."""
+def _known(spark: SparkSession, d: str, shard_rows: int) -> DataFrame:
     asked = (
         table(spark, d, "questions", "query_id", "query_date", "gold_unit_ids")
         .withColumn("day", day_number(parse_date(F.col("query_date"))))
         .where("day IS NOT NULL")
-        .select(F.explode("gold_unit_ids").alias("entity"), F.to_json(F.struct("query_id", "day")).alias("event"), "day")
+        .select(F.explode("gold_unit_ids").alias("entity"), F.col("query_id").alias("event"), "day")
     )
     known = usable_intervals(table(spark, d, "gold120_source_excerpts", "excerpt_id", "unit_id", "valid_from", "valid_to", "recorded_at"), "valid_from", "valid_to").select(
         F.col("unit_id").alias("entity"), F.col("excerpt_id").alias("version"), F.col("__start").alias("start"), F.col("__end").alias("end"),
         day_number(F.col("recorded_at").cast("date")).alias("known_day"), micros(F.col("recorded_at")).alias("known"),
     )
-    found = as_known(asked, known)
-    return found.select(F.get_json_object("event", "$.query_id").alias("query_id"), F.col("entity").alias("unit_id"), F.col("version").alias("excerpt_id")).distinct()
+    found = as_known(asked, known, shard_rows)
+    return found.select(F.col("event").alias("query_id"), F.col("entity").alias("unit_id"), F.col("version").alias("excerpt_id")).distinct()
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """For each dated question and unit the excerpt valid and known at the question's date."""
+    return _known(spark, d, SHARD_ROWS)
+
+
+def p7_shards(spark: SparkSession, d: str) -> DataFrame:
+    """The same with units cut into time shards of six rows, so that most are cut on these tables."""
+    return _known(spark, d, 6)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_descendants, p5_found, p5_report, p6_found, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_descendants, p5_found, p5_report, p6_found, p7_found, p7_shards)}
 
 _TREE_SQL = """WITH RECURSIVE latest AS (
  SELECT provision_id, nullif(parent_id, '') parent_id, order_index FROM (
@@ -149,3 +158,4 @@ ranked AS (SELECT query_id, a.unit_id, excerpt_id, row_number() OVER (PARTITION
  FROM asked a JOIN usable u ON a.unit_id = u.unit_id AND u.a <= a.q AND (a.q < u.b OR u.b = DATE '9999-12-31') AND CAST(recorded_at AS DATE) <= a.q)
 SELECT DISTINCT query_id, unit_id, excerpt_id FROM ranked WHERE rn = 1""",
 }
+SQL["p7_shards"] = SQL["p7_found"]
