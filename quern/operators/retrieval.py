@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ K1, B = 1.5, 0.75
 RRF = 60
 #: Query vectors that are compared with a tile of the index at once, and vectors of a tile.
 BLOCK, TILE = 256, 4096
+#: Queries of one block of a lexical search, and documents that are scored with it at once.
+QUERIES, SCORED = 512, 512
 
 
 def top(df: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
@@ -52,26 +56,134 @@ def look_up(asked: DataFrame, index: DataFrame, keys: list[str], order: list[str
     return best
 
 
+def _asked(queries: DataFrame) -> list[tuple[list, list[str], np.ndarray]]:
+    """Blocks of at most QUERIES queries: (query ids, their terms, terms x queries with 1 where a query has the term).
+
+    ``queries``: query_id, terms. Only one block at a time is held, and sent to the tasks.
+    """
+    rows = queries.select("query_id", F.sort_array(F.array_distinct("terms")).alias("terms")).orderBy("query_id")
+    block = []
+    for r in rows.toLocalIterator():
+        block.append(r)
+        if len(block) == QUERIES:
+            yield _block(block)
+            block = []
+    if block:
+        yield _block(block)
+
+
+def _block(rows: list) -> tuple[list, list[str], np.ndarray]:
+    terms = sorted({t for r in rows for t in r.terms or []})
+    number = {t: i for i, t in enumerate(terms)}
+    has = np.zeros((len(terms), len(rows)), np.float32)
+    for q, r in enumerate(rows):
+        has[[number[t] for t in r.terms or []], q] = 1
+    return [r.query_id for r in rows], terms, has
+
+
+def _term_counts(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count, length of each document) of the asked terms in a batch of (doc_id, w)."""
+    words = batch.column("w")
+    lengths = np.diff(words.offsets.to_numpy())
+    at = pc.index_in(words.flatten(), value_set=terms).fill_null(-1).to_numpy()
+    doc = np.repeat(np.arange(len(lengths)), lengths)[at >= 0]
+    pairs = np.sort(doc * len(terms) + at[at >= 0])
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.empty(0, np.int64)
+    n = np.diff(np.concatenate([first, [len(pairs)]]))
+    return pairs[first] // max(len(terms), 1), pairs[first] % max(len(terms), 1), n, lengths
+
+
+def _scored(docs: DataFrame, queries: DataFrame, k: int, weigh, learn=None) -> DataFrame:
+    """(query_id, doc_id, score, rank): documents scored where they lie, the k best of each task merged.
+
+    ``docs``: doc_id, w (words). ``learn(terms)`` gives what ``weigh(known, document,
+    term, count, lengths)`` needs to weigh the occurrences of asked terms; a score is
+    the sum of the weights of a query's terms. A task sends k rows for each query,
+    however many documents hold its terms. Queries come in blocks of QUERIES, each
+    with one pass over the documents.
+    """
+    found = None
+    for ids, terms, has in _asked(queries):
+        known = learn(terms) if learn else has
+        sent = docs.sparkSession.sparkContext.broadcast((ids, pa.array(terms, pa.string()), has, known))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, terms, has, known = sent.value
+            best = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
+            for whole in batches:
+                for start in range(0, len(whole), SCORED):
+                    b = whole.slice(start, SCORED)
+                    doc, term, n, lengths = _term_counts(b, terms)
+                    weights = np.zeros((len(b), len(terms)))
+                    weights[doc, term] = weigh(known, doc, term, n, lengths)
+                    score = np.round((weights @ has).T, 6)
+                    # documents without any term of a query are none of its results
+                    touched = (weights > 0).astype(np.float32) @ has > 0
+                    score[~touched.T] = -np.inf
+                    scores = np.concatenate([best[0], score], axis=1)
+                    keys = np.concatenate([best[1], np.broadcast_to(b.column("doc_id").to_numpy(), score.shape)], axis=1)
+                    order = np.lexsort((keys, -scores), axis=1)[:, :k]
+                    best = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
+            q, place = np.nonzero(best[0] > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], pa.int64()), pa.array(best[1][q, place]), pa.array(best[0][q, place])], names=["query_id", "doc_id", "score"])
+
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "w").mapInArrow(run, "query_id long, doc_id long, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = docs.select(F.lit(0).cast("long").alias("query_id"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
+    return top(found, "query_id", "score", "doc_id", k)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of each query, scores rounded to 6 places.
 
-    ``docs``: doc_id, text; ``queries``: query_id, text; query terms count once.
-    Only postings of terms that some query holds leave their task: the terms of the
-    stated query set are few beside the corpus. Lengths are summed over all texts.
-    NULL and empty texts have no terms.
+    ``docs``: doc_id (unique), text; ``queries``: query_id, text; query terms count
+    once. One pass counts the documents that hold an asked term, and all words; one
+    pass scores every document in its task, see ``_scored``. NULL and empty texts have
+    no terms.
+    """
+    tokenized = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w"))
+
+    def learn(terms: list[str]) -> tuple[np.ndarray, float]:
+        sent = docs.sparkSession.sparkContext.broadcast(pa.array(terms, pa.string()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n_docs, n_words = np.zeros(len(terms), np.int64), 0, 0
+            for b in batches:
+                _, term, _, lengths = _term_counts(b, sent.value)
+                held += np.bincount(term, minlength=len(terms))
+                n_docs += len(lengths)
+                n_words += int(lengths.sum())
+            numbers = np.arange(-2, len(terms))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(np.concatenate([[n_docs, n_words], held]))], names=["term", "n"])
+
+        # as many rows as asked terms, whatever the corpus
+        got = {r.term: r.n for r in tokenized.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        n_docs, mean = got.get(-2, 0), got.get(-1, 0) / max(got.get(-2, 0), 1)
+        df = np.array([got.get(i, 0) for i in range(len(terms))], float)
+        return np.log(1 + (n_docs - df + 0.5) / (df + 0.5)), mean or 1.0
+
+    def weigh(known, doc, term, n, lengths):
+        idf, mean = known
+        return idf[term] * n / (n + K1 * (1 - B + B * lengths[doc] / mean))
+
+    return _scored(tokenized, queries.select("query_id", words(F.col("text")).alias("terms")), k, weigh, learn)
+
+
+def overlap(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k documents that hold most of a query's terms, by their share.
+
+    ``docs``: doc_id (unique), w; ``queries``: query_id, terms; both lists of terms,
+    each counted once. Scored like ``bm25``.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    terms = asked.select("term").distinct()
-    tokenized = docs.where("text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w")).withColumn("len", F.size("w"))
-    # two numbers of the whole corpus
-    stats = tokenized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("mean")).first()
-    postings = tokenized.select("doc_id", "len", F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(stats.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(stats.mean or 1.0)))
-    scored = postings.join(frequency, "term").select("doc_id", "term", (idf * weight).alias("s"))
-    sums = scored.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
-    return top(sums, "query_id", "score", "doc_id", k)
+
+    def weigh(known, doc, term, n, lengths):
+        return np.ones(len(doc))
+
+    counted = _scored(docs, queries, k, weigh)
+    sizes = queries.select("query_id", F.size(F.array_distinct("terms")).alias("n"))
+    # equal numbers of terms are equal shares, so the order stays
+    return counted.join(sizes, "query_id").select("query_id", "doc_id", F.round(F.col("score") / F.col("n"), 6).alias("score"), "rank")
 
 
 def _cut(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -176,21 +288,33 @@ def nearest_rank(df: DataFrame, group: str, value: str, percentiles: dict[str, f
     return at.groupBy(group).agg(*[F.max(F.when(holds(p), F.col(value))).alias(name) for name, p in percentiles.items()])
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well-mixed 64-bit numbers of 64-bit numbers (the finalizer of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def bootstrap(values: DataFrame, key: str, value: str, samples: int, seed: int) -> DataFrame:
     """(n, mean, low, high): mean with its 95 % interval from ``samples`` Poisson resamples.
 
     Weights of a row in the resamples are drawn from a hash of its key, so that the
     result depends neither on the partitioning nor on the order. Every task sums its
-    rows into one pair of arrays; the rows are never gathered.
+    rows, a block at a time, into one pair of arrays; the rows are never gathered.
     """
+    # chances of a Poisson weight of at most 0, 1, 2, ... with mean 1
+    steps = np.cumsum([np.exp(-1) / math.factorial(i) for i in range(12)])
+    salt = _mixed(np.arange(samples, dtype=np.uint64) + np.full(samples, seed, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = np.zeros(samples), np.zeros(samples)
         for b in batches:
-            for h, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = np.random.default_rng([h & 0xFFFFFFFF, (h >> 32) & 0xFFFFFFFF, seed]).poisson(1.0, samples)
-                total += w * v
-                weight += w
+            keys, v = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            for start in range(0, len(keys), 256):
+                chance = (_mixed(keys[start : start + 256, None] ^ salt[None, :]) >> np.uint64(11)) * 2.0**-53
+                w = np.searchsorted(steps, chance, "right").astype(float)
+                total += v[start : start + 256] @ w
+                weight += w.sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(samples)), pa.array(total), pa.array(weight)], names=["i", "s", "w"])
 
     rows = values.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(value).cast("double").alias("v"))

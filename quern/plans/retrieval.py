@@ -14,7 +14,7 @@ from quern.plans.problems import SQL as PROBLEM_SQL
 from quern.plans.problems import p7_found
 from quern.sources.tables import table
 
-WEIGHTS = {"bm25": 1.0, "terms": 0.5, "titles": 0.0}
+WEIGHTS = {"bm25": 1.0, "terms": 0.5, "titles": 0.25}
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -30,17 +30,15 @@ def rank_bm25(spark: SparkSession, d: str) -> DataFrame:
     return r.bm25(_docs(spark, d), _items(spark, d), 10)
 
 
-def _overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Share of an item's folded terms that a document holds."""
-    asked = _items(spark, d).select("query_id", t.terms(F.col("text")).alias("q")).withColumn("n", F.size("q")).select("query_id", "n", F.explode("q").alias("term"))
-    terms = asked.select("term").distinct()
-    held = _docs(spark, d).where("text IS NOT NULL").select("doc_id", F.explode(t.terms(F.col("text"))).alias("term")).join(terms, "term", "left_semi").distinct()
-    return held.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.count(F.lit(1)) / F.first("n"), 6).alias("score"))
+def _overlap(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The k documents that hold the greatest share of an item's folded terms."""
+    docs = _docs(spark, d).where("text IS NOT NULL").select("doc_id", t.terms(F.col("text")).alias("w"))
+    return r.overlap(docs, _items(spark, d).select("query_id", t.terms(F.col("text")).alias("terms")), k)
 
 
 def rank_overlap(spark: SparkSession, d: str) -> DataFrame:
     """The ten best documents of each item by shared terms."""
-    return r.top(_overlap(spark, d), "query_id", "score", "doc_id", 10)
+    return _overlap(spark, d, 10)
 
 
 def rank_dense(spark: SparkSession, d: str) -> DataFrame:
@@ -50,13 +48,19 @@ def rank_dense(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _channels(spark: SparkSession, d: str) -> DataFrame:
-    a = r.bm25(_docs(spark, d), _items(spark, d), 30).select("query_id", F.lit("bm25").alias("channel"), F.col("doc_id").alias("id"), "score")
-    b = r.top(_overlap(spark, d), "query_id", "score", "doc_id", 30).select("query_id", F.lit("terms").alias("channel"), F.col("doc_id").alias("id"), "score")
-    return a.unionByName(b).unionByName(a.withColumn("channel", F.lit("titles")))
+    """BM25 over texts, shared terms of texts, BM25 over titles: the thirty best of each."""
+    items = _items(spark, d)
+    titles = table(spark, d, "documents", "doc_id", "title").withColumnRenamed("title", "text")
+    found = {"bm25": r.bm25(_docs(spark, d), items, 30), "terms": _overlap(spark, d, 30), "titles": r.bm25(titles, items, 30)}
+    out = None
+    for name, one in found.items():
+        rows = one.select("query_id", F.lit(name).alias("channel"), F.col("doc_id").alias("id"), "score")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def rank_fused(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 and shared terms fused by reciprocal ranks; a channel of weight 0 is inert."""
+    """BM25 of texts and titles and shared terms fused by weighted reciprocal ranks."""
     return r.fuse(_channels(spark, d), WEIGHTS).where("rank <= 10").select("query_id", F.col("id").alias("doc_id"), "score", "best_rank", "rank")
 
 
@@ -119,8 +123,8 @@ def eval_macro(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("query_type").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 4).alias(c) for c in ("recall", "precision", "mrr", "ndcg")])
 
 
-def eval_leak_recall(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 and shared terms at 10 compared: how many items each finds the same best document for."""
+def eval_same_first(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 and shared terms compared: how many items each finds the same best document for."""
     a = rank_bm25(spark, d).where("rank = 1").select("query_id", F.col("doc_id").alias("a"))
     b = rank_overlap(spark, d).where("rank = 1").select("query_id", F.col("doc_id").alias("b"))
     return a.join(b, "query_id", "full").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("n_same"))
@@ -170,12 +174,19 @@ QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and ge
 
 _W = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 _T = r"list_distinct(list_filter(regexp_extract_all(trim(regexp_replace(replace(strip_accents(lower(text)), 'đ', 'd'), '\s+', ' ', 'g')), '[\p{L}\p{N}_]+'), lambda x: length(x) > 2))"
-_BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({_W})) AS term FROM (SELECT DISTINCT item_id, text FROM eval_items)),
- tok AS (SELECT doc_id, {_W} AS w FROM documents WHERE text IS NOT NULL), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM tok),
- post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM tok) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
- df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
- sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / mean))), 6) AS score FROM post JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2),
- bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)"""
+
+
+def _bm25_sql(p: str, column: str) -> str:
+    """Common table expressions of BM25 over a column of documents, their names with a prefix; the ranking is ``<p>bm``."""
+    return f"""{p}q AS (SELECT item_id AS query_id, unnest(list_distinct({_W})) AS term FROM (SELECT DISTINCT item_id, text FROM eval_items)),
+ {p}tok AS (SELECT doc_id, {_W} AS w FROM (SELECT doc_id, {column} AS text FROM documents) WHERE text IS NOT NULL), {p}st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM {p}tok),
+ {p}post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM {p}tok) WHERE term IN (SELECT term FROM {p}q) GROUP BY 1, 2, 3),
+ {p}df AS (SELECT term, count(*) AS df FROM {p}post GROUP BY 1),
+ {p}sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / mean))), 6) AS score FROM {p}post JOIN {p}df USING (term) JOIN {p}q USING (term), {p}st GROUP BY 1, 2),
+ {p}bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {p}sc)"""
+
+
+_BM25, _TITLES = _bm25_sql("", "text"), _bm25_sql("t_", "title")
 _OV = f"""oq AS (SELECT query_id, len(l) AS n, unnest(l) AS term FROM (SELECT item_id AS query_id, {_T} AS l FROM (SELECT DISTINCT item_id, text FROM eval_items))),
  od AS (SELECT DISTINCT doc_id, unnest({_T}) AS term FROM documents WHERE text IS NOT NULL),
  os AS (SELECT query_id, doc_id, round(count(*) / any_value(n), 6) AS score FROM od JOIN oq USING (term) GROUP BY 1, 2),
@@ -194,7 +205,7 @@ SQL = {
     "rank_bm25": f"WITH {_BM25} SELECT * FROM bm WHERE rank <= 10",
     "rank_overlap": f"WITH {_OV} SELECT * FROM ov WHERE rank <= 10",
     "rank_dense": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT * FROM k WHERE rank <= 10",
-    "rank_fused": f"""WITH {_BM25}, {_OV}, f AS (SELECT query_id, doc_id, round(sum(w / (60 + rank)), 9) AS score, min(rank) AS best_rank FROM (SELECT query_id, doc_id, rank, 1.0::DOUBLE AS w FROM bm WHERE rank <= 30 UNION ALL SELECT query_id, doc_id, rank, 0.5::DOUBLE FROM ov WHERE rank <= 30) GROUP BY 1, 2),
+    "rank_fused": f"""WITH {_BM25}, {_OV}, {_TITLES}, f AS (SELECT query_id, doc_id, round(sum(w / (60 + rank)), 9) AS score, min(rank) AS best_rank FROM (SELECT query_id, doc_id, rank, 1.0::DOUBLE AS w FROM bm WHERE rank <= 30 UNION ALL SELECT query_id, doc_id, rank, 0.5::DOUBLE FROM ov WHERE rank <= 30 UNION ALL SELECT query_id, doc_id, rank, 0.25::DOUBLE FROM t_bm WHERE rank <= 30) GROUP BY 1, 2),
  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, doc_id) AS rank FROM f) SELECT * FROM k WHERE rank <= 10""",
     "rank_blended": f"""WITH {_BM25}, b AS (SELECT query_id, doc_id, round(0.75::DOUBLE * score / max(score) OVER (PARTITION BY query_id) + 0.2::DOUBLE * CAST(document_number IS NOT NULL AS INT), 6) AS blend FROM bm JOIN documents USING (doc_id) WHERE rank <= 20),
  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blend DESC, doc_id) AS new_rank FROM b) SELECT * FROM k WHERE new_rank <= 10""",
@@ -204,7 +215,7 @@ SQL = {
     "evidence_coverage": f"WITH {_WANT}, k AS (SELECT DISTINCT unit_id FROM gold120_source_excerpts) SELECT query_id, count(*) AS n_groups, count(unit_id) AS n_found, round(count(unit_id) / count(*), 6) AS share, coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE unit_id IS NULL), '') AS missing FROM want LEFT JOIN k ON id = unit_id GROUP BY 1",
     "eval_ir_metrics": f"WITH {_IR} SELECT * FROM ir",
     "eval_macro": f"WITH {_IR} SELECT query_type, count(*) AS n, round(avg(recall), 4) AS recall, round(avg(precision), 4) AS precision, round(avg(mrr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg FROM ir JOIN (SELECT DISTINCT query_id, query_type FROM questions) USING (query_id) GROUP BY 1",
-    "eval_leak_recall": f"WITH {_BM25}, {_OV} SELECT count(*) AS n, count(*) FILTER (WHERE a.doc_id = b.doc_id) AS n_same FROM (SELECT * FROM bm WHERE rank = 1) a FULL JOIN (SELECT * FROM ov WHERE rank = 1) b ON a.query_id = b.query_id",
+    "eval_same_first": f"WITH {_BM25}, {_OV} SELECT count(*) AS n, count(*) FILTER (WHERE a.doc_id = b.doc_id) AS n_same FROM (SELECT * FROM bm WHERE rank = 1) a FULL JOIN (SELECT * FROM ov WHERE rank = 1) b ON a.query_id = b.query_id",
     "eval_latency": "SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.95) AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1",
     "eval_paired_delta": "SELECT count(*) AS n, round(avg(x), 6) AS mean_delta, count(*) FILTER (WHERE x > 1e-9) AS wins, count(*) FILTER (WHERE abs(x) <= 1e-9) AS ties, count(*) FILTER (WHERE x < -1e-9) AS losses FROM (SELECT round(avg(value) FILTER (WHERE event_type = 'click') - avg(value) FILTER (WHERE event_type = 'view'), 9) AS x FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id) WHERE x IS NOT NULL",
     "eval_stratified": "SELECT p_brand, p_size, p_partkey, pick FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY md5(CAST(p_partkey AS VARCHAR)), p_partkey) AS pick FROM part) WHERE pick <= 2",
