@@ -22,28 +22,37 @@ GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ", "ABEZHIKMNOPTYXovcj", s
 #: Greek small letters that stand for themselves when alone (coefficients) and for a Latin one only inside a Latin word.
 GREEK_INSIDE = dict(zip("αικρυχ", "aikpux", strict=True))
 LATIN = dict(zip("ÐƉðɖıɑɡ", "ĐĐđđiag", strict=True))
+ARMENIAN = dict(zip("օհոսցՕՏԼ", "ohnugOSL", strict=True))
 INVISIBLE = "​‌‍⁠﻿­"
 MARKS = "̀-ͯ᪰-᫿᷀-᷿⃐-⃿"
 
-LOOKALIKE = {**CYRILLIC, **GREEK, **LATIN}
+LOOKALIKE = {**CYRILLIC, **GREEK, **LATIN, **ARMENIAN}
 
 
 def _spaces() -> list[str]:
-    return [chr(c) for c in range(0x80, 0x3001) if unicodedata.category(chr(c)) == "Zs"]
+    """Spaces within a line other than the plain one; line and paragraph separators are none."""
+    return ["\t", "\x0b", "\x0c", *(chr(c) for c in range(0x80, 0x3001) if unicodedata.category(chr(c)) == "Zs")]
 
 
-def _wide() -> dict[str, str]:
-    """Full-width forms and the ordinary characters they stand for."""
-    return {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFFE7) if unicodedata.east_asian_width(chr(c)) == "F"}
+def _widths() -> dict[str, str]:
+    """Full-width and half-width forms, and letters of mathematical alphabets, with the ordinary characters they stand for."""
+    table = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFFEF) if unicodedata.east_asian_width(chr(c)) in "FH" and chr(c) not in "\uff9e\uff9f\uffa0"}
+    for c in list(table):
+        for mark in "\uff9e\uff9f":
+            voiced = unicodedata.normalize("NFKC", c + mark)
+            if len(voiced) == 1:
+                table[c + mark] = voiced
+    fonts = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x1D400, 0x1D800)}
+    return table | {c: plain for c, plain in fonts.items() if plain.isascii() and plain != c}
 
 
 def _accents() -> dict[str, str]:
-    """Every spelling of a precomposed Latin letter by base and marks, in any order of the marks."""
+    """Every spelling of a precomposed letter by base and marks, in any order of the marks, of all alphabets."""
     table: dict[str, str] = {}
-    for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    for c in range(0xC0, 0x3000):
         letter = chr(c)
         parts = unicodedata.normalize("NFD", letter)
-        if len(parts) == 1 or unicodedata.normalize("NFC", letter) != letter:
+        if len(parts) == 1 or unicodedata.normalize("NFC", letter) != letter or not all(map(unicodedata.combining, parts[1:])):
             continue
         base, marks = parts[0], parts[1:]
         for order in {marks, marks[::-1]}:
@@ -55,22 +64,44 @@ def _accents() -> dict[str, str]:
     return table
 
 
+def _on(bases: dict[str, str], accents: dict[str, str]) -> dict[str, str]:
+    """The accents on characters that stand for their base."""
+    by_base: dict[str, list[str]] = {}
+    for cluster in accents:
+        by_base.setdefault(cluster[0], []).append(cluster)
+    return {c + cluster[1:]: accents[cluster] for c, base in bases.items() for cluster in by_base.get(base, ())}
+
+
+def _merged(*tables: dict[str, str]) -> dict[str, str]:
+    """One table of several; ValueError where a cluster has two images or an image would be rewritten itself."""
+    out: dict[str, str] = {}
+    for part in tables:
+        for key, value in part.items():
+            if out.setdefault(key, value) != value:
+                raise ValueError(f"two images of {key!r}: {out[key]!r}, {value!r}")
+    for key, value in out.items():
+        if value in out:
+            raise ValueError(f"unstable image of {key!r}: {value!r}")
+    return out
+
+
 @lru_cache(1)
 def mapping() -> dict[str, str]:
-    """Cluster -> plain text of the context-free part; raises ValueError on a conflict.
+    """Cluster -> plain text wherever it stands: widths, spaces, invisible characters and accents, also on each other."""
+    accents, widths = _accents(), _widths()
+    return _merged(widths, dict.fromkeys(_spaces(), " "), dict.fromkeys(INVISIBLE, ""), accents, _on({k: v for k, v in widths.items() if len(k) == 1}, accents))
+
 
-    A conflict is a cluster with two images, or an image that would itself be
-    rewritten (the form would not be stable).
+@lru_cache(1)
+def word_mapping() -> dict[str, str]:
+    """Cluster -> plain text within a Latin word: ``mapping`` and look-alikes, with accents too, checked as one table.
+
+    What is a letter of another alphabet elsewhere (with its own accents) is Latin here.
     """
-    table: dict[str, str] = {}
-    for part in (_wide(), dict.fromkeys(_spaces(), " "), dict.fromkeys(INVISIBLE, ""), _accents()):
-        for key, value in part.items():
-            if table.setdefault(key, value) != value:
-                raise ValueError(f"two images of {key!r}: {table[key]!r}, {value!r}")
-    for key, value in table.items():
-        if value in table or (len(key) == 1 and key in LOOKALIKE):
-            raise ValueError(f"unstable image of {key!r}: {value!r}")
-    return table
+    alike = LOOKALIKE | GREEK_INSIDE
+    accents = _accents()
+    latin = {k: v for k, v in mapping().items() if k[0] not in alike and not (set(v) & set(alike))}
+    return _merged(latin, alike, _on(alike, accents))
 
 
 def _char_class(chars) -> str:
@@ -84,7 +115,7 @@ def _scanner() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     alike = _char_class({*LOOKALIKE, *GREEK_INSIDE})
     screen = re.compile(f"[{singles}{alike}{MARKS}]")
     word = re.compile(f"(?:[^\\W\\d_]|[{MARKS}{_char_class(INVISIBLE)}])+")
-    cluster = re.compile(f"\\w[{MARKS}]+|[{singles}{alike}]")
+    cluster = re.compile(f"\\w[{MARKS}]+|[\uff66-\uff9d][\uff9e\uff9f]|[{singles}{alike}]")
     return screen, word, cluster
 
 
@@ -93,7 +124,7 @@ def _script(letter: str) -> str:
     if letter in LOOKALIKE or letter in GREEK_INSIDE:
         return "LATIN" if letter in LATIN else "ALIKE"
     name = unicodedata.name(letter, "")
-    return "LATIN" if name.startswith(("LATIN", "FULLWIDTH LATIN")) else "OTHER" if unicodedata.category(letter)[0] == "L" else ""
+    return "LATIN" if name.startswith(("LATIN", "FULLWIDTH LATIN")) or mapping().get(letter, "").isascii() and mapping().get(letter, "").isalpha() else "OTHER" if unicodedata.category(letter)[0] == "L" else ""
 
 
 def _latin_words(text: str, words: list[re.Match]) -> list[bool]:
@@ -125,24 +156,25 @@ def plain(text: str | None) -> str | None:
     screen, word, cluster = _scanner()
     if text is None or not screen.search(text):
         return text
-    table = mapping()
     words = list(word.finditer(text))
     latin = _latin_words(text, words)
-    inside = {**LOOKALIKE, **GREEK_INSIDE}
 
-    def rewrite(is_latin: bool):
+    def rewrite(table: dict[str, str]):
         def one(m: re.Match) -> str:
             c = m.group()
-            if len(c) == 1:
-                return table[c] if c in table else inside[c] if is_latin else c
-            base = table.get(c[0], c[0])
-            base = inside.get(base, base) if is_latin else base
-            return table.get(base + c[1:]) or unicodedata.normalize("NFC", base + c[1:])
+            known = table.get(c)
+            if known is not None or len(c) == 1:
+                return c if known is None else known
+            # marks that no letter has with them: the longest beginning that is known, then the rest as it is
+            for n in range(len(c) - 1, 0, -1):
+                if c[:n] in table:
+                    return unicodedata.normalize("NFC", table[c[:n]] + c[n:])
+            return unicodedata.normalize("NFC", c)
 
         return one
 
     out, at = [], 0
-    inner, outer = rewrite(True), rewrite(False)
+    inner, outer = rewrite(word_mapping()), rewrite(mapping())
     for w, is_latin in zip(words, latin, strict=True):
         out.append(cluster.sub(outer, text[at : w.start()]))
         # invisible characters would part a letter from its marks, so they go first

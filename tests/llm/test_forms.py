@@ -6,13 +6,14 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quern.llm.forms import LOOKALIKE, mapping, plain, plain_values
+from quern.llm.forms import LOOKALIKE, _merged, mapping, plain, plain_values, word_mapping
 
-SAME = ["", "Điều 5. Người lao động", "tiếng Nga có chữ «закон» có", "ký hiệu 契約 có", "Hệ số α và β", "hệ số λ", "договор", "a-b/c 12", "line\nline", "ν = 3", "сор закон", "tab\tstays"]
+SAME = ["", "Điều 5. Người lao động", "tiếng Nga có chữ «закон» có", "ký hiệu 契約 có", "Hệ số α và β", "hệ số λ", "договор", "a-b/c 12", "line\nline", "ν = 3", "сор закон", "հայերեն", "カナ", "a\u2028b"]
 CHANGED = [
     ("ｎàｏ？", "nào?"), ("Ðiều", "Điều"), ("QƉ-TLÐ", "QĐ-TLĐ"), ("ðồng", "đồng"), ("laο động", "lao động"), ("νiệc", "việc"), ("НРV", "HPV"), ("123/2023/ТТ-LTB", "123/2023/TT-LTB"),
     ("ngườі", "người"), ("kể cа̉", "kể cả"), ("a b", "a b"), ("a　b c", "a b c"), ("ch​ế", "chế"), ("﻿x", "x"), ("p\xadhẩm", "phẩm"),
     (unicodedata.normalize("NFD", "Người quản lý được phép ở"), "Người quản lý được phép ở"), ("ệ", "ệ"), ("ệ", "ệ"), ("ệ", "ệ"), ("o​̛", "ơ"), ("а) Bên giao", "a) Bên giao"),
+    ("tab\there", "tab here"), ("a\x0bb", "a b"), ("ｶﾞｲﾄﾞ", "ガイド"), ("laօ động", "lao động"), ("𝐥𝐚𝐨 động", "lao động"), ("vo\u031b\u0301i", "với"), ("v\u043e\u031b\u0301i", "với"), ("ｖｏ\u031b\u0301ｉ", "với"), ("\u0438\u0306 закон", "й закон"),
 ]
 
 
@@ -30,6 +31,12 @@ def test_mapping_has_no_conflict_and_none_of_its_images_changes():
     for value in mapping().values():
         assert plain(value) == value
     assert all(len(v) == 1 for v in LOOKALIKE.values())
+    for value in word_mapping().values():
+        assert plain(f"lao{value}") == f"lao{value}"
+    with pytest.raises(ValueError, match="two images"):
+        _merged({"x": "a"}, {"x": "b"})
+    with pytest.raises(ValueError, match="unstable"):
+        _merged({"x": "y", "y": "z"})
 
 
 @settings(max_examples=300, deadline=None)
