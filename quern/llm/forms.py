@@ -104,8 +104,12 @@ def word_mapping() -> dict[str, str]:
     return _merged(latin, alike, _on(alike, accents))
 
 
+#: Letters of mathematical alphabets. A character class that held them one by one would be searched one by one.
+_FONTS = re.compile("[\U0001d400-\U0001d7ff]")
+
+
 def _char_class(chars) -> str:
-    return "".join(re.escape(c) for c in sorted(chars))
+    return "".join(re.escape(c) for c in sorted(chars) if c < "\U00010000")
 
 
 @lru_cache(1)
@@ -115,10 +119,11 @@ def _scanner() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     alike = _char_class({*LOOKALIKE, *GREEK_INSIDE})
     screen = re.compile(f"[{singles}{alike}{MARKS}]")
     word = re.compile(f"(?:[^\\W\\d_]|[{MARKS}{_char_class(INVISIBLE)}])+")
-    cluster = re.compile(f"\\w[{MARKS}]+|[\uff66-\uff9d][\uff9e\uff9f]|[{singles}{alike}]")
+    cluster = re.compile(f"\\w[{MARKS}]+|[\uff66-\uff9d][\uff9e\uff9f]|[{singles}{alike}]|{_FONTS.pattern}")
     return screen, word, cluster
 
 
+@lru_cache(1 << 14)
 def _script(letter: str) -> str:
     """LATIN, ALIKE (may stand for a Latin letter) or OTHER."""
     if letter in LOOKALIKE or letter in GREEK_INSIDE:
@@ -127,6 +132,11 @@ def _script(letter: str) -> str:
     return "LATIN" if name.startswith(("LATIN", "FULLWIDTH LATIN")) or mapping().get(letter, "").isascii() and mapping().get(letter, "").isalpha() else "OTHER" if unicodedata.category(letter)[0] == "L" else ""
 
 
+@lru_cache(1 << 16)
+def _scripts(word: str) -> frozenset[str]:
+    return frozenset(map(_script, word)) - {""}
+
+
 def _latin_words(text: str, words: list[re.Match]) -> list[bool]:
     """Which words are Latin words, so that look-alikes in them stand for Latin letters.
 
@@ -134,7 +144,7 @@ def _latin_words(text: str, words: list[re.Match]) -> list[bool]:
     word with a Latin letter is Latin. A word of look-alikes only is Latin unless a
     word beside it is of another script, or it is one small Greek letter.
     """
-    kinds = [{_script(c) for c in w.group()} - {""} for w in words]
+    kinds = [_scripts(w.group()) for w in words]
     own = []
     for w, k in zip(words, kinds, strict=True):
         if "OTHER" in k:
@@ -154,7 +164,7 @@ def _latin_words(text: str, words: list[re.Match]) -> list[bool]:
 def plain(text: str | None) -> str | None:
     """The plain form of ``text``; NULL stays NULL, text without anything to rewrite stays itself."""
     screen, word, cluster = _scanner()
-    if text is None or not screen.search(text):
+    if text is None or not (screen.search(text) or _FONTS.search(text)):
         return text
     words = list(word.finditer(text))
     latin = _latin_words(text, words)
