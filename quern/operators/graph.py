@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.sharded import previous_value
@@ -123,3 +123,38 @@ def communities(edges: DataFrame, least: int = 3, limit: int = 1000) -> DataFram
     found = checkpointed(labels.select("id", F.least("label", "before").alias("label")))
     large = found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return found.join(large, "label", "left_semi").select("id", "label")
+
+
+def best_first(seeds: DataFrame, edges: DataFrame, weights: dict[str, float], hops: int, budget: int, decay: float = 0.8, hub: float = 0.1) -> DataFrame:
+    """(seed, id, hop, score): of every seed the ``budget`` best new nodes of each hop.
+
+    ``seeds``: id; ``edges``: source, target, type. A step along an edge, either way,
+    scores decay times the score before, plus the weight of the type, less ``hub`` for
+    each natural logarithm of the target's degree; a node has its best step. A node
+    that a seed has reached is not reached again, and only the kept nodes go on, so a
+    hop sends at most budget nodes of a seed along their edges.
+    """
+    both = edges.select("source", "target", "type").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "type")).where("source <> target")
+    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+    gains = both.groupBy("source", "target").agg(F.max(F.coalesce(F.try_element_at(weight, F.col("type")), F.lit(0.0))).alias("gain"))
+    degree = gains.groupBy(F.col("source").alias("target")).agg(F.count(F.lit(1)).alias("degree"))
+    steps = checkpointed(gains.join(degree, "target").select("source", "target", (F.col("gain") - hub * F.log("degree")).alias("gain")))
+    seen = checkpointed(seeds.select(F.col("id").alias("seed"), "id").distinct().select("seed", "id", F.lit(0).alias("hop"), F.lit(0.0).alias("score")))
+    for hop in range(1, hops + 1):
+        ahead = seen.where(F.col("hop") == hop - 1).join(steps, F.col("id") == F.col("source"))
+        reached = ahead.groupBy("seed", F.col("target").alias("id")).agg(F.round(F.max(decay * F.col("score") + F.col("gain")), 6).alias("score")).join(seen.select("seed", "id"), ["seed", "id"], "left_anti")
+        place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "id"))
+        kept = reached.withColumn("place", place).where(F.col("place") <= budget)
+        seen = checkpointed(seen.unionByName(kept.select("seed", "id", F.lit(hop).alias("hop"), "score")))
+    return seen
+
+
+def blocked(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, status) of tasks that wait for others: CYCLE, BLOCKED by a missing one at the end of their chain, else READY.
+
+    ``tasks``: id, needs (NULL or empty: nothing), one row each; ``nodes``: rows of
+    ``hierarchy`` over them. What the first of a chain needs decides for all behind it.
+    """
+    lacking = tasks.where("needs <> ''").select(F.col("id").alias("root")).distinct()
+    known = nodes.select("node", "root").join(lacking.withColumn("lacks", F.lit(1)), "root", "left")
+    return known.select(F.col("node").alias("id"), F.when(F.col("root") == "CYCLE", "CYCLE").when(F.col("lacks") == 1, "BLOCKED").otherwise("READY").alias("status"))

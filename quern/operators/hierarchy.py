@@ -141,15 +141,16 @@ def hierarchy(rows: DataFrame, id_col: str, parent_col: str, version_col: str, o
     return found.unionByName(circles, allowMissingColumns=True)
 
 
-def descendants(nodes: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) of every pair, from the ranges of ``hierarchy``.
+def descendants(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(ancestor, descendant, distance) of every pair, from the ranges of ``hierarchy``; with ``of`` (node), of those ancestors only.
 
     A range join in blocks of preorder numbers: a node that has descendants is sent
     to the blocks its range touches, every node to the one block it lies in. What is
     compared is at most the true pairs and two blocks more for each inner node.
     Nodes on or below a circle have no pairs.
     """
-    inner = nodes.where("size > 1").select(
+    inner = nodes.where("size > 1")
+    inner = (inner if of is None else inner.join(of.select("node").distinct(), "node", "left_semi")).select(
         F.col("node").alias("ancestor"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"), F.col("preorder").alias("first"), (F.col("preorder") + F.col("size")).alias("end"),
         F.explode(F.sequence(F.floor((F.col("preorder") + 1) / BLOCK), F.floor((F.col("preorder") + F.col("size") - 1) / BLOCK))).alias("a_block"),
     )
