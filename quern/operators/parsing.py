@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # What a line looks like that opens a segment or a level.
 SEGMENTS = (("MAIN_BODY", r"^Điều \d+\."), ("ANNEX", r"^(?:PHỤ LỤC|Phụ lục)\b"), ("FINDINGS", r"^NHẬN ĐỊNH"), ("ANSWER", r"^Đáp:"), ("SIGNATURE", r"^Nơi nhận"))
 ARTICLE, CLAUSE, POINT = r"^Điều (\d+)\.", r"^(\d+)\. ", r"^([a-zđ])\) "
+#: Levels above the clause, widest first, and the line that opens one.
+HEADINGS = (("PART", r"^(?:Phần|PHẦN) (?:thứ )?([IVXLC]+|[0-9]+)\b"), ("CHAPTER", r"^(?:Chương|CHƯƠNG) ([IVXLC]+|[0-9]+)\b"), ("SECTION", r"^(?:Mục|MỤC) ([0-9]+)\b"), ("ARTICLE", r"^Điều ([0-9]+)\."))
+ANY_HEADING = r"^(?:Phần|PHẦN|Chương|CHƯƠNG|Mục|MỤC|Điều) "
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -61,3 +64,30 @@ def located(rows: DataFrame, text: str, phrase: str) -> DataFrame:
     times = F.when(F.col("__p") == "", 0).otherwise((F.length("__t") - F.length(F.replace("__t", "__p", F.lit("")))) / F.greatest(F.length("__p"), F.lit(1)))
     status = F.when(times == 1, "RESOLVED").when(times > 1, "AMBIGUOUS").otherwise("UNRESOLVED")
     return both.withColumn("status", status).withColumn("start", F.when(F.col("status") == "RESOLVED", F.expr("instr(__t, __p)"))).drop("__t", "__p")
+
+
+def headings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, i, level, part, chapter, section, article, title): lines that open a level above the clause, with what they lie in.
+
+    A level ends where a wider one opens. The title of an article stands in its line,
+    that of a wider level in the next one. Lines within quotation marks that an earlier
+    line opened are quoted law and open nothing. Repeated rows count once,
+    rows of one key with different texts are told apart by a hash.
+    """
+    rows = lines(docs.where(F.col(key).isNotNull()).withColumn("__k", F.struct(key, F.md5(text).alias("__h"))), "__k", text).dropDuplicates(["__k", "i"])
+    names = [k.lower() for k, _ in HEADINGS]
+    rows = rows.withColumns({n: F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for n, (_, p) in zip(names, HEADINGS, strict=True)})
+    by_line = Window.partitionBy("__k").orderBy("i")
+    marks = F.length(F.regexp_replace("line", "[^“«]", "")) - F.length(F.regexp_replace("line", "[^”»]", ""))
+    rows = rows.withColumn("next", F.lead("line").over(by_line)).withColumn("depth", F.coalesce(F.sum(marks).over(by_line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("depth <= 0")
+    level = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(n.upper())) for n in names])
+    up_to = by_line.rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn("level", level).withColumns({f"at_{n}": F.max(F.when(F.col(n).isNotNull(), F.col("i"))).over(up_to) for n in names} | {f"in_{n}": F.last(n, ignorenulls=True).over(up_to) for n in names})
+    inside = {}
+    for n, name in enumerate(names):
+        open_still = F.lit(True)
+        for wider in names[:n]:
+            open_still = open_still & (F.col(f"at_{wider}").isNull() | (F.col(f"at_{wider}") <= F.col(f"at_{name}")))
+        inside[name] = F.when(open_still, F.col(f"in_{name}"))
+    title = F.when(F.col("level") == "ARTICLE", F.trim(F.regexp_replace("line", HEADINGS[-1][1], ""))).when(F.col("next").isNull() | F.col("next").rlike(ANY_HEADING), "").otherwise(F.col("next"))
+    return seen.where("level IS NOT NULL").select(F.col("__k")[key].alias(key), "i", "level", *[v.alias(k) for k, v in inside.items()], title.alias("title"))

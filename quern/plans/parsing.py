@@ -25,11 +25,17 @@ def parse_structure(spark: SparkSession, d: str) -> DataFrame:
 
 def parse_located(spark: SparkSession, d: str) -> DataFrame:
     """Whether the title of a document occurs in its text: once, more often, or not."""
-    x = table(spark, d, "documents", "doc_id", "text", "title").distinct()
+    x = table(spark, d, "documents", "doc_id", "text", "title")
     return p.located(x, "text", "title").select("doc_id", "status", "start")
 
 
-QUERIES = {f.__name__: f for f in (parse_segments, parse_structure, parse_located)}
+def parse_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Parts, chapters, sections and articles of every content text with what they lie in and their title."""
+    c = table(spark, d, "content", "id", "text")
+    return p.headings(c, "id", "text").distinct()
+
+
+QUERIES = {f.__name__: f for f in (parse_segments, parse_structure, parse_located, parse_headings)}
 
 _LINES = r"""l AS (SELECT doc_id, i, line FROM (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '') AS x FROM documents WHERE text IS NOT NULL)))"""
 SQL = {
@@ -44,4 +50,17 @@ SQL = {
     "parse_located": r"""WITH x AS (SELECT doc_id, coalesce(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '') AS t, coalesce(lower(trim(regexp_replace(title, '\s+', ' ', 'g'))), '') AS p FROM (SELECT DISTINCT doc_id, text, title FROM documents)),
  n AS (SELECT *, CASE WHEN p = '' THEN 0 ELSE (length(t) - length(replace(t, p, ''))) / length(p) END AS n FROM x)
  SELECT doc_id, CASE WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'UNRESOLVED' END AS status, CASE WHEN n = 1 THEN instr(t, p) END AS start FROM n""",
+    "parse_headings": f"""WITH {_LINES.replace('doc_id', 'key').replace('SELECT key, list_filter', 'SELECT id AS key, list_filter').replace('FROM documents', 'FROM (SELECT DISTINCT id, text FROM content WHERE id IS NOT NULL)').replace('list_filter(', 'md5(text) AS h, list_filter(').replace('SELECT key, i, line FROM', 'SELECT key, h, i, line FROM').replace('SELECT key, unnest(range', 'SELECT key, h, unnest(range')},
+ m AS (SELECT *, """
+    + ", ".join(f"nullif(regexp_extract(line, '{r}', 1), '') AS {k.lower()}" for k, r in p.HEADINGS)
+    + ", lead(line) OVER w AS next, length(regexp_replace(line, '[^“«]', '', 'g')) - length(regexp_replace(line, '[^”»]', '', 'g')) AS q FROM l WINDOW w AS (PARTITION BY key, h ORDER BY i)),"
+    " o AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY key, h ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM m),"
+    " v AS (SELECT *, CASE "
+    + " ".join(f"WHEN {k.lower()} IS NOT NULL THEN '{k}'" for k, _ in p.HEADINGS)
+    + " END AS level FROM o WHERE depth <= 0),"
+    " w AS (SELECT * , "
+    + ", ".join(f"max(CASE WHEN {k.lower()} IS NOT NULL THEN i END) OVER w AS at_{k.lower()}, last_value({k.lower()} IGNORE NULLS) OVER w AS in_{k.lower()}" for k, _ in p.HEADINGS)
+    + " FROM v WINDOW w AS (PARTITION BY key, h ORDER BY i ROWS UNBOUNDED PRECEDING)) SELECT DISTINCT key AS id, i, level, "
+    + ", ".join(f"CASE WHEN {' AND '.join(['true', *(f'(at_{b.lower()} IS NULL OR at_{b.lower()} <= at_{k.lower()})' for b, _ in p.HEADINGS[:n])])} AND at_{k.lower()} <= i THEN in_{k.lower()} END AS {k.lower()}" for n, (k, _) in enumerate(p.HEADINGS))
+    + rf", CASE WHEN level = 'ARTICLE' THEN trim(regexp_replace(line, '{p.HEADINGS[-1][1]}', ''), ' ') WHEN next IS NULL OR regexp_matches(next, '{p.ANY_HEADING}') THEN '' ELSE next END AS title FROM w WHERE level IS NOT NULL",
 }

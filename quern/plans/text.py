@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as t
@@ -26,8 +26,10 @@ def text_stable_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def text_clean(spark: SparkSession, d: str) -> DataFrame:
     """Content without page-number lines and with collapsed spaces: length and hash."""
-    c = table(spark, d, "content", "id", "text").distinct().withColumn("clean", t.clean_lines(F.col("text")))
-    return c.select("id", F.length("clean").cast("long").alias("n_clean"), F.md5("clean").alias("clean_md5"))
+    c = table(spark, d, "content", "id", "text").withColumn("clean", t.clean_lines(F.col("text")))
+    # repeated rows are told by a hash, no text is shuffled
+    told = c.select("id", F.sha2("text", 256).alias("text"), F.length("clean").cast("long").alias("n_clean"), F.md5("clean").alias("clean_md5"))
+    return told.distinct().drop("text")
 
 
 def text_folded_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +46,7 @@ def text_identifiers(spark: SparkSession, d: str) -> DataFrame:
 
 def text_layer_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Counts and fractions of each text layer, and its hash."""
-    c = table(spark, d, "content", "id", "text").where("text IS NOT NULL").distinct()
+    c = table(spark, d, "content", "id", "text").where("text IS NOT NULL")
     x = F.col("text")
     n = F.length(x)
     letters = F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]", ""))
@@ -54,7 +56,7 @@ def text_layer_metrics(spark: SparkSession, d: str) -> DataFrame:
         "id", n.cast("long").alias("n_chars"), F.size(t.words(x)).cast("long").alias("n_words"), F.size(lines).cast("long").alias("n_lines"), share(letters).alias("alnum_share"),
         share(F.length(F.regexp_replace(x, "[^0-9]", ""))).alias("digit_share"),
         F.round(1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)), 4).alias("duplicate_line_share"), F.sha2(x, 256).alias("sha256"),
-    )
+    ).distinct()
 
 
 def text_quality_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +98,7 @@ def text_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 def text_numbers_in_text(spark: SparkSession, d: str) -> DataFrame:
     """The first document number in each document's text, beside the declared one."""
-    x = table(spark, d, "documents", "doc_id", "text", "document_number").where("text IS NOT NULL").distinct()
+    x = table(spark, d, "documents", "doc_id", "text", "document_number").where("text IS NOT NULL")
     found = F.nullif(F.regexp_extract("text", r"(\d{1,4}/\d{4}/[A-ZĐ]{2,6}-[A-ZĐ]{2,6})", 1), F.lit(""))
     return x.select("doc_id", found.alias("found"), F.coalesce(found == F.col("document_number"), F.lit(False)).alias("same"))
 
@@ -127,17 +129,17 @@ def text_topic_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def text_checklist(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of 18 to 700 characters of each provision with their first trigger class, at most 20 each."""
-    p = table(spark, d, "provisions", "provision_id", "text").where("text IS NOT NULL").distinct()
-    kind = F.coalesce(*[F.when(F.lower("s").contains(w), F.lit(k)) for k, w in TRIGGERS])
-    rows = p.select("provision_id", "text", F.posexplode(t.sentences(F.col("text"))).alias("i", "s")).where("length(s) BETWEEN 18 AND 700").withColumn("kind", kind).where("kind IS NOT NULL")
-    # the window's group is one provision's text: its sentences, not its rows
-    rank = F.row_number().over(Window.partitionBy("provision_id", "text").orderBy("i"))
-    return rows.withColumn("rank", rank).where("rank <= 20").groupBy("kind").agg(F.count(F.lit(1)).alias("n_sentences"), F.countDistinct("provision_id").alias("n_provisions"))
+    p = table(spark, d, "provisions", "provision_id", "text").where("text IS NOT NULL")
+    kind = lambda x: F.coalesce(*[F.when(F.lower(x).contains(w), F.lit(k)) for k, w in TRIGGERS])
+    told = F.filter(F.transform(F.filter(t.sentences(F.col("text")), lambda x: F.length(x).between(18, 700)), kind), lambda k: k.isNotNull())
+    # sentences are chosen within the row; only their kinds leave it
+    rows = p.select("provision_id", F.sha2("text", 256).alias("sha"), F.slice(told, 1, 20).alias("kinds")).distinct()
+    return rows.select("provision_id", F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_sentences"), F.countDistinct("provision_id").alias("n_provisions"))
 
 
 def text_sections(spark: SparkSession, d: str) -> DataFrame:
     """Length of the part of judgments before, and from, their findings."""
-    x = table(spark, d, "documents", "doc_id", "text", "doc_kind").where("doc_kind = 'judgment' AND text IS NOT NULL").distinct()
+    x = table(spark, d, "documents", "doc_id", "text", "doc_kind").where("doc_kind = 'judgment' AND text IS NOT NULL")
     at = F.instr("text", "NHẬN ĐỊNH")
     return x.select("doc_id", F.when(at > 0, at - 1).otherwise(F.length("text")).cast("long").alias("n_facts"), F.when(at > 0, F.length("text") - at + 1).otherwise(0).cast("long").alias("n_findings"))
 
@@ -151,7 +153,7 @@ def text_urls(spark: SparkSession, d: str) -> DataFrame:
 
 def text_excerpt_parts(spark: SparkSession, d: str) -> DataFrame:
     """Contents cut into parts of at most 400 characters that give the text again."""
-    c = table(spark, d, "content", "id", "text").where("text <> ''").distinct()
+    c = table(spark, d, "content", "id", "text").where("text <> ''")
     parts = c.select("id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 400).cast("int"))).alias("part"))
     return parts.select("id", "part", F.md5(F.substr("text", F.col("part") * 400 + 1, F.lit(400))).alias("part_md5")).distinct()
 

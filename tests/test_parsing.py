@@ -44,3 +44,15 @@ def test_conversation(spark):
     assert sorted(tuple(r) for r in conversation(df, "k", ["i"], "topic").collect()) == [("u", "b", 3, 1), ("v", "a", 1, 0)]
     long = spark.range(60).select(F.lit("k").alias("k"), F.col("id").alias("i"), F.lit("t").alias("topic"))
     assert conversation(long, "k", ["i"], "topic", 20).first().n_turns == 20
+
+
+def test_headings(spark):
+    text = "PHẦN I\nChung\nChương II\nMục 1\nĐiều 3. Tên «x»\n1. a «\nĐiều 9. trích\n»\nMục 2\nChương III\nTên ba\nĐiều 4.\nPhần 2"
+    df = spark.createDataFrame([("a", text, 1), ("a", text, 1), ("a", "Điều 1. B", 2), (None, "Điều 1.", 1), ("n", None, 1), ("e", "", 1), ("p", "văn bản", 1)], "id string, text string, i int")
+    got = sorted((tuple(r) for r in p.headings(df, "id", "text").collect()), key=str)
+    assert got == sorted([
+        ("a", 0, "PART", "I", None, None, None, "Chung"), ("a", 2, "CHAPTER", "I", "II", None, None, ""), ("a", 3, "SECTION", "I", "II", "1", None, ""), ("a", 4, "ARTICLE", "I", "II", "1", "3", "Tên «x»"),
+        ("a", 8, "SECTION", "I", "II", "2", None, ""), ("a", 9, "CHAPTER", "I", "III", None, None, "Tên ba"), ("a", 11, "ARTICLE", "I", "III", None, "4", ""), ("a", 12, "PART", "2", None, None, None, ""),
+        ("a", 0, "ARTICLE", None, None, None, "1", "B"),
+    ], key=str)
+    assert p.headings(df.limit(0), "id", "text").count() == 0
