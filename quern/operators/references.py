@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.sharded import last_value
+from quern.operators.sharded import last_value, running
 
 #: Microsecond after every timestamp: the end of a run that is still live.
 FOREVER = 2**63 - 1
@@ -16,19 +16,32 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def live_runs(parents: DataFrame, key: str, from_col: str, to_col: str) -> DataFrame:
-    """(key, first, end): for each key the contiguous runs of integer microseconds at which it is live.
+def live_rows(parents: DataFrame, key: str, from_col: str, to_col: str) -> DataFrame:
+    """(key, first, end): the integer microseconds [first, end) at which a row of a key is live.
 
-    A row is live in [from, to), for ever where ``to`` is NULL. Of rows that begin
-    together the latest end counts, overlapping and touching ones join. Rows with a
-    NULL or empty key, a NULL ``from`` or an end not after it add nothing.
+    A row is live in [from, to), for ever where ``to`` is NULL. Rows with a NULL or
+    empty key, a NULL ``from`` or an end not after it add nothing.
     """
     rows = parents.select(F.col(key).alias("key"), micros(F.col(from_col)).alias("first"), F.coalesce(micros(F.col(to_col)), F.lit(FOREVER)).alias("end"))
-    starts = rows.where("key <> '' AND end > first").groupBy("key", "first").agg(F.max("end").alias("end"))
-    by_start = Window.partitionBy("key").orderBy("first")
-    before = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    marked = starts.withColumn("run", F.when(before.isNull() | (F.col("first") > before), 1).otherwise(0)).withColumn("run", F.sum("run").over(by_start))
-    return marked.groupBy("key", "run").agg(F.min("first").alias("first"), F.max("end").alias("end")).drop("run")
+    return rows.where("key <> '' AND end > first")
+
+
+def compressed(rows: DataFrame) -> DataFrame:
+    """(key, first, end): the rows of ``live_rows`` that begin a contiguous run or carry one further.
+
+    Of rows that begin together the latest end counts; a row that ends within what
+    began before it adds nothing and is dropped. What is live at a moment can then be
+    told from the last row that begins at or before it. A key with any number of rows
+    is cut into shards, see ``sharded``.
+    """
+    starts = rows.groupBy("key", "first").agg(F.max("end").alias("end"))
+    marked = running(starts, ["key"], ["first"], {}, {}, tops={"reached": "end"})
+    return marked.where("reached IS NULL OR end > reached").select("key", "first", "end")
+
+
+def live_runs(parents: DataFrame, key: str, from_col: str, to_col: str) -> DataFrame:
+    """The contiguous runs of the microseconds at which each key is live, see ``live_rows`` and ``compressed``."""
+    return compressed(live_rows(parents, key, from_col, to_col))
 
 
 def orphans(references: DataFrame, runs: DataFrame) -> DataFrame:

@@ -49,11 +49,12 @@ def _with_carry(df: DataFrame, carry: DataFrame, group: list[str]) -> DataFrame:
     return df.join(F.broadcast(carry), on, "left").drop("__g_shard", *[f"__g_{c}" for c in group])
 
 
-def running(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str], lasts: dict[str, str], shards: int | None = None) -> DataFrame:
-    """Adds running sums and last values, name -> column, in one pass over the shards.
+def running(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str], lasts: dict[str, str], shards: int | None = None, tops: dict[str, str] | None = None) -> DataFrame:
+    """Adds running sums, last values and greatest values, name -> column, in one pass over the shards.
 
     A sum is over the rows before this one in its group (NULL counts as 0, the first
-    row has 0); a last value is the last that is not NULL at or before this row. Rows
+    row has 0); a last value is the last that is not NULL at or before this row; a
+    greatest value (``tops``) is that of the rows before this one, NULL for the first. Rows
     equal in group and order are put in some order of their own, so end ``order`` in a
     unique column. With no ``group`` all rows are one.
     """
@@ -61,14 +62,18 @@ def running(df: DataFrame, group: list[str], order: list[str], sums: dict[str, s
     rank = F.struct(*order)
     parts = [F.sum(F.coalesce(F.col(v), F.lit(0))).alias(f"__p_{k}") for k, v in sums.items()]
     parts += [F.max_by(v, F.when(F.col(v).isNotNull(), rank)).alias(f"__p_{k}") for k, v in lasts.items()]
+    tops = tops or {}
+    parts += [F.max(v).alias(f"__p_{k}") for k, v in tops.items()]
     partial = placed.groupBy(*group, SHARD).agg(*parts)
     carried = {f"__c_{k}": F.sum(f"__p_{k}") for k in sums} | {f"__c_{k}": F.last(f"__p_{k}", ignorenulls=True) for k in lasts}
+    carried |= {f"__c_{k}": F.max(f"__p_{k}") for k in tops}
     local = Window.partitionBy(*group, SHARD).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     before, up_to = local.rowsBetween(Window.unboundedPreceding, -1), local.rowsBetween(Window.unboundedPreceding, 0)
     here = {k: F.coalesce(F.sum(F.coalesce(F.col(v), F.lit(0))).over(before), F.lit(0)) for k, v in sums.items()}
     here |= {k: F.last(v, ignorenulls=True).over(up_to) for k, v in lasts.items()}
+    here |= {k: F.max(v).over(before) for k, v in tops.items()}
     result = _with_carry(placed.withColumns(here), _carry(partial, group, carried), group)
-    whole = {k: F.col(k) + F.coalesce(f"__c_{k}", F.lit(0)) for k in sums} | {k: F.coalesce(k, f"__c_{k}") for k in lasts}
+    whole = {k: F.col(k) + F.coalesce(f"__c_{k}", F.lit(0)) for k in sums} | {k: F.coalesce(k, f"__c_{k}") for k in lasts} | {k: F.greatest(k, f"__c_{k}") for k in tops}
     return result.withColumns(whole).drop(SHARD, *carried)
 
 

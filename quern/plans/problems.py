@@ -9,7 +9,7 @@ from quern.functions.dates import DATE_SQL, parse_date
 from quern.operators.asof import SHARD_ROWS, as_known
 from quern.operators.hierarchy import descendants, hierarchy
 from quern.operators.intervals import day_number, periods_and_gaps, usable_intervals
-from quern.operators.references import live_runs, micros, orphans, reference_rows
+from quern.operators.references import compressed, live_rows, micros, orphans, reference_rows
 from quern.sources.tables import table
 
 
@@ -46,10 +46,10 @@ def _orphans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         target, key = targets[name]
         # keys of different targets are kept apart by the name of the referring table
         r = reference_rows(table(spark, d, name, *dict.fromkeys((row_key, ref, at))), name, row_key, ref, at).where("key <> ''").withColumn("key", F.concat_ws("\t", F.lit(name), "key"))
-        t = live_runs(table(spark, d, target, key, "ingested_at", "deleted_at"), key, "ingested_at", "deleted_at").withColumn("key", F.concat_ws("\t", F.lit(name), "key"))
+        t = live_rows(table(spark, d, target, key, "ingested_at", "deleted_at"), key, "ingested_at", "deleted_at").withColumn("key", F.concat_ws("\t", F.lit(name), "key"))
         refs = r if refs is None else refs.unionByName(r)
         runs = t if runs is None else runs.unionByName(t)
-    return refs, orphans(refs, runs)
+    return refs, orphans(refs, compressed(runs))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
