@@ -91,6 +91,19 @@ def _extended(doc: np.ndarray, item: np.ndarray, i: int, j: int) -> tuple[int, i
     return j - back, back + ahead
 
 
+def _blocks(items: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
+    """Items in blocks of at most ``block`` fingerprints, one at a time; one empty block where there is none."""
+    one, room = [], 0
+    for row in items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().toLocalIterator():
+        size = len(words(row.text))
+        if room + size > block and one:
+            yield one
+            one, room = [], 0
+        one.append((row.item_id, row.text))
+        room += size
+    yield one
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, gram: int = GRAM, window: int = WINDOW, block: int = BLOCK_FINGERPRINTS) -> DataFrame:
     """(doc_id, item_id, item_start, n_words): documents that hold a run of an item's words.
 
@@ -106,19 +119,10 @@ def leaked_items(docs: DataFrame, items: DataFrame, gram: int = GRAM, window: in
     """
     shortest = gram + window - 1
     spark = docs.sparkSession
-    sets: list[list[tuple[int, str]]] = [[]]
-    room = 0
-    for row in items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().toLocalIterator():
-        size = len(words(row.text))
-        if room + size > block and sets[-1]:
-            sets.append([])
-            room = 0
-        sets[-1].append((row.item_id, row.text))
-        room += size
     corpus = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_start", pa.int32()), ("n_words", pa.int32())])
     found = None
-    for one in sets:
+    for one in _blocks(items, block):
         sent = spark.sparkContext.broadcast(one)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -118,4 +118,17 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p1_validation, p3_found, p3_plain, p3_numbers, p4_found, p4_text, p4_repairs, p8_ids, p9_found, p9_items, p10_found, p10_scores)}
-SQL: dict[str, str] = {}
+
+def _grams_sql(table_name: str, key: str) -> str:
+    """Runs of twelve normalised words of a table's texts with their places."""
+    invisible = "[\\x{FE00}-\\x{FE0F}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x{AD}]+"
+    words = f"regexp_extract_all(replace(lower(regexp_replace(regexp_replace(strip_accents(text), '{invisible}', '', 'g'), '\\p{{Mn}}+', '', 'g')), 'đ', 'd'), '[\\p{{L}}\\p{{N}}]+')"
+    return f"""SELECT {key}, i, array_to_string(w[i + 1:i + 12], ' ') AS gram FROM (SELECT {key}, w, unnest(range(len(w) - 11)) AS i FROM (SELECT DISTINCT {key}, {words} AS w FROM {table_name} WHERE {key} IS NOT NULL AND text IS NOT NULL))"""
+
+
+_SHARED = f"""d AS ({_grams_sql('documents', 'doc_id')}), m AS ({_grams_sql('eval_items', 'item_id')}), hit AS (SELECT DISTINCT doc_id, item_id, d.i AS i, m.i AS j FROM d JOIN m USING (gram))"""
+SQL = {
+    "p9_found": f"WITH {_SHARED} SELECT DISTINCT doc_id, item_id FROM hit",
+    "p9_items": f"""WITH {_SHARED}, isle AS (SELECT doc_id, item_id, i - j AS shift, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS g FROM hit), run AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM isle GROUP BY doc_id, item_id, shift, g)
+ SELECT item_id, task, coalesce(n, 0) AS n_documents, coalesce(longest, 0) AS longest_run FROM (SELECT DISTINCT item_id, task FROM eval_items) LEFT JOIN (SELECT item_id, count(DISTINCT doc_id) AS n, max(n) AS longest FROM run GROUP BY 1) USING (item_id)""",
+}
