@@ -78,3 +78,11 @@ def normal_url(url: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "/+$", "")
     head = F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]+)", 1)
     return F.when((head != "") & ~head.contains("@"), F.concat(F.lower(head), F.substr(bare, F.length(head) + 1)))
+
+
+def spans(text: Column, most: int) -> Column:
+    """Parts of a text between semicolons and line ends, neighbours joined by ``; `` so that there are at most ``most``."""
+    parts = F.filter(F.transform(F.split(text, "[;\n]"), lambda s: F.trim(s)), lambda s: s != "")
+    size = F.greatest(F.ceil(F.size(parts) / most), F.lit(1)).cast("int")
+    starts = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts), size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(parts, i, size), "; "))

@@ -54,3 +54,33 @@ def periods_and_gaps(rows: DataFrame, entity: str, start_col: str, end_col: str)
     out = marked.select(entity, F.explode(both).alias("x")).where("x.b IS NOT NULL")
     text = lambda c: F.date_format(F.date_from_unix_date(c), "yyyy-MM-dd")
     return out.select(entity, "x.kind", text("x.a").alias("start_date"), F.when(F.col("x.b") == OPEN, "").otherwise(text("x.b")).alias("end_date"))
+
+
+def closed_versions(rows: DataFrame, entity: str) -> DataFrame:
+    """(entity, __start, __end, version): versions in order of time, each closed where the next one begins.
+
+    ``rows``: entity, __start, __end, version. Of versions that begin together the one
+    that lasts longest, then the greatest, counts; so an entity brings at most one row
+    per calendar day to its window. Rows with a NULL entity are left out.
+    """
+    daily = rows.where(F.col(entity).isNotNull()).groupBy(entity, "__start").agg(F.max(F.struct("__end", "version")).alias("v")).select(entity, "__start", "v.__end", "v.version")
+    after = F.lead("__start").over(Window.partitionBy(entity).orderBy("__start"))
+    return daily.withColumn("__end", F.least(F.col("__end"), after))
+
+
+def conflicts(rows: DataFrame, entity: str, value: str) -> DataFrame:
+    """(entity, __start, __end, n): longest stretches of time in which an entity has n values at once, more than one.
+
+    ``rows``: entity, value, __start, __end. Intervals of equal value may overlap
+    without conflict. Begins and ends are summed by day, so the sweep of an entity
+    takes at most one row per calendar day, however many rows it has.
+    """
+    daily = rows.where(F.col(entity).isNotNull() & F.col(value).isNotNull()).groupBy(entity, value, "__start").agg(F.max("__end").alias("__end"))
+    per_value = Window.partitionBy(entity, value).orderBy("__start")
+    reached = F.max("__end").over(per_value.rowsBetween(Window.unboundedPreceding, -1))
+    # of a value only the part that lies beyond its own earlier intervals counts
+    own = daily.withColumn("__from", F.greatest("__start", reached)).where("__end > __from")
+    steps = own.select(entity, F.explode(F.array(F.struct(F.col("__from").alias("day"), F.lit(1).alias("step")), F.struct(F.col("__end").alias("day"), F.lit(-1).alias("step")))).alias("x"))
+    by_day = steps.groupBy(entity, F.col("x.day").alias("__start")).agg(F.sum("x.step").alias("step")).where("step <> 0")
+    order = Window.partitionBy(entity).orderBy("__start")
+    return by_day.withColumn("n", F.sum("step").over(order)).withColumn("__end", F.lead("__start").over(order)).where("n > 1").select(entity, "__start", "__end", "n")

@@ -96,13 +96,18 @@ def eval_group_metrics(spark: SparkSession, d: str) -> DataFrame:
     return s.group_metrics(known, _groups(spark, d, known), 3)
 
 
-def eval_union_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Share of a question's units that the first three of two rankings find together, and whether it is half at least."""
+def _channels_of_age(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two rankings of a question's units, by oldest and by newest excerpt known in time, and the units required."""
     known = p7_found(spark, d).select("query_id", F.col("unit_id").alias("id"), "excerpt_id")
     rank = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "id"))
     old, new = known.withColumn("rank", rank("excerpt_id")), known.withColumn("rank", rank(F.desc("excerpt_id")))
     channels = old.withColumn("channel", F.lit("old")).unionByName(new.withColumn("channel", F.lit("new")))
-    return s.union_recall(channels, _wanted(spark, d).withColumnRenamed("group", "id"), 3, 0.5)
+    return checkpointed(channels), _wanted(spark, d).withColumnRenamed("group", "id")
+
+
+def eval_union_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Share of a question's units that the first three of two rankings find together, and whether it is half at least."""
+    return s.union_recall(*_channels_of_age(spark, d), 3, 0.5)
 
 
 def eval_outcomes(spark: SparkSession, d: str) -> DataFrame:
