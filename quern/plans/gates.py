@@ -51,10 +51,10 @@ def gate_structure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gate_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """Row count and order-free fingerprint of each staging table's keys."""
+    """Row count and order-free fingerprint of each staging table's keys and content."""
     out = None
-    for name, columns in (("records", ["record_id", "state"]), ("candidates", ["candidate_id", "record_id"]), ("evidence", ["evidence_id", "candidate_id"]), ("relationships", ["id", "doc_id", "other_doc_id"])):
-        f = g.fingerprint(table(spark, d, name, *columns), columns).withColumn("table_name", F.lit(name))
+    for name, columns in _PRINT:
+        f = g.fingerprint(table(spark, d, name, *columns), list(columns)).withColumn("table_name", F.lit(name))
         out = f if out is None else out.unionByName(f)
     return out
 
@@ -149,7 +149,10 @@ _GOLD = {
     "REPEATED_UNITS": "len(gold_unit_ids) > 0 AND len(list_distinct(gold_unit_ids)) < len(gold_unit_ids)", "NOT_REVIEWED": "coalesce(review_status, '') = 'DRAFT'",
 }
 _KEYS = (("provisions", "provision_id", "provision_id, parent_id, ingested_at"), ("content", "id", "id, text_sha256, ingested_at, deleted_at"), ("records", "record_id", "record_id, state, ingested_at, deleted_at"), ("questions", "query_id", "query_id, question, query_date"))
-_PRINT = (("records", ("record_id", "state")), ("candidates", ("candidate_id", "record_id")), ("evidence", ("evidence_id", "candidate_id")), ("relationships", ("id", "doc_id", "other_doc_id")))
+_PRINT = (
+    ("records", ("record_id", "state", "canonical_identifier", "metadata_json")), ("candidates", ("candidate_id", "record_id", "state", "final_url", "metadata_json")),
+    ("evidence", ("evidence_id", "candidate_id", "payload_json")), ("relationships", ("id", "doc_id", "other_doc_id", "relation", "payload_json")), ("content", ("id", "text", "payload_json")),
+)
 
 SQL = {
     "gate_validation": "WITH p AS (SELECT DISTINCT provision_id, level, text, heading, char_start, char_end, line_start, line_end, valid_from, valid_to FROM provisions) " + " UNION ALL ".join(f"SELECT '{k}' AS rule, coalesce(level, '') AS level, count(*) AS n FROM p WHERE {v} GROUP BY 2" for k, v in _RULES.items()),

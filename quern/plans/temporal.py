@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.dates import DATE_SQL, is_blank, parse_date
+from quern.operators.asof import as_known
 from quern.operators.intervals import OPEN, usable_intervals
 from quern.sources.tables import table
 
@@ -76,8 +77,10 @@ def temporal_wrong_versions(spark: SparkSession, d: str) -> DataFrame:
     """For each kind of question: gold units, and those without any version valid at the question's date."""
     q = table(spark, d, "questions", "query_id", "query_type", "query_date", "gold_unit_ids").distinct()
     asked = q.withColumn("day", F.unix_date(parse_date(F.col("query_date")))).where("day IS NOT NULL").select("query_id", "query_type", "day", F.explode(F.array_distinct("gold_unit_ids")).alias("unit_id"))
-    days = _intervals(spark, d).select("unit_id", "__start", "__end").distinct().withColumnRenamed("unit_id", "u")
-    valid = asked.join(days, (F.col("unit_id") == F.col("u")) & (F.col("__start") <= F.col("day")) & (F.col("day") < F.col("__end")), "left_semi").select("query_id", "unit_id", F.lit(1).alias("ok")).distinct()
+    # the as-of join looks at each day of a unit once, so a unit that many ask about never meets all its versions
+    versions = _intervals(spark, d).select(F.col("unit_id").alias("entity"), F.col("excerpt_id").alias("version"), F.col("__start").alias("start"), F.col("__end").alias("end"), F.col("__start").alias("known_day"), F.lit(0).alias("known"))
+    found = as_known(asked.select(F.col("unit_id").alias("entity"), F.col("query_id").alias("event"), "day"), versions)
+    valid = found.select(F.col("event").alias("query_id"), F.col("entity").alias("unit_id"), F.lit(1).alias("ok")).distinct()
     return asked.join(valid, ["query_id", "unit_id"], "left").groupBy("query_type").agg(F.count(F.lit(1)).alias("n_units"), F.count_if(F.col("ok").isNull()).alias("n_without"))
 
 

@@ -91,9 +91,9 @@ def text_multiset_dice(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of content that occur under several ids."""
-    c = table(spark, d, "content", "id", "text").where("trim(text) <> ''").distinct()
-    return c.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.countDistinct("id").alias("n_ids"), F.min("id").alias("first_id")).where("n_ids > 1")
+    """Texts that occur under several documents: hash, number and first of them."""
+    c = table(spark, d, "documents", "doc_id", "text").where("trim(text) <> ''").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return c.groupBy("sha256").agg(F.count(F.lit(1)).alias("n_ids"), F.min("doc_id").alias("first_id")).where("n_ids > 1")
 
 
 def text_numbers_in_text(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +201,7 @@ SQL = {
     "text_multiset_dice": f"""WITH g AS (SELECT DISTINCT excerpt_id, source_text, ancestor_context FROM gold120_source_excerpts WHERE source_text IS NOT NULL AND ancestor_context IS NOT NULL),
  w AS (SELECT excerpt_id, unnest({_WORDS.format(c="source_text")}) w, 1 a, 0 b FROM g UNION ALL SELECT excerpt_id, unnest({_WORDS.format(c="ancestor_context")}), 0, 1 FROM g),
  tf AS (SELECT excerpt_id, w, sum(a) a, sum(b) b FROM w GROUP BY 1, 2) SELECT excerpt_id, round(2 * sum(least(a, b)) / sum(a + b), 6) AS dice FROM tf GROUP BY 1""",
-    "text_duplicates": "SELECT sha256(text) AS sha256, count(DISTINCT id) AS n_ids, min(id) AS first_id FROM content WHERE trim(text) <> '' GROUP BY 1 HAVING count(DISTINCT id) > 1",
+    "text_duplicates": "SELECT sha256(text) AS sha256, count(*) AS n_ids, min(doc_id) AS first_id FROM documents WHERE trim(text) <> '' GROUP BY 1 HAVING count(*) > 1",
     "text_numbers_in_text": r"SELECT doc_id, nullif(regexp_extract(text, '(\d{1,4}/\d{4}/[A-ZĐ]{2,6}-[A-ZĐ]{2,6})', 1), '') AS found, coalesce(nullif(regexp_extract(text, '(\d{1,4}/\d{4}/[A-ZĐ]{2,6}-[A-ZĐ]{2,6})', 1), '') = document_number, false) AS same FROM (SELECT DISTINCT doc_id, text, document_number FROM documents WHERE text IS NOT NULL)",
     "text_citations": r"SELECT article, count(*) AS n_questions FROM (SELECT query_id, unnest(list_distinct(regexp_extract_all(question, 'Điều (\d+)', 1))) AS article FROM (SELECT DISTINCT query_id, question FROM questions)) GROUP BY 1",
     "text_money_percent": r"SELECT * FROM (SELECT excerpt_id, array_to_string(list_slice(regexp_extract_all(source_text, '(\d{1,3}(?:\.\d{3})+) đồng', 1), 1, 10), ';') AS money, array_to_string(list_slice(regexp_extract_all(source_text, '(\d+) (?:phần trăm|per cent)', 1), 1, 10), ';') AS percent FROM (SELECT DISTINCT excerpt_id, source_text FROM gold120_source_excerpts WHERE source_text IS NOT NULL)) WHERE money <> '' OR percent <> ''",
