@@ -409,8 +409,8 @@ def repairs(rows: DataFrame) -> DataFrame:
     return of_lines.unionByName(chosen.select(*fields, "meant"), allowMissingColumns=True)
 
 
-def repaired(text: str, words: dict[int, str], kept: set[str], headers: set[str] = frozenset()) -> str:
-    """Continuous paragraphs of a text: noise lines dropped, broken words joined, words replaced.
+def repaired(lines: list[str], words: dict[int, str], kept: set[str], headers: set[str] = frozenset()) -> str:
+    """Continuous paragraphs of a text's lines from ``pieces``: broken words joined, words replaced.
 
     ``words``: number of a word -> repair; ``kept``: hyphenated words that are whole;
     ``headers``: forms of the lines that are running headers of the corpus.
@@ -419,9 +419,9 @@ def repaired(text: str, words: dict[int, str], kept: set[str], headers: set[str]
     def whole(lines: list[str]) -> str:
         return re.sub("([^\\W\\d_]+)\x01(.)([^\\W\\d_]+)", lambda m: m[1] + (m[2] if f"{m[1]}-{m[3]}".lower() in kept and m[2] != "¬" else "") + m[3], "\n".join(lines))
 
-    marked = whole(pieces(plain(text))[0])
+    marked = whole(lines)
     number, out, at = -1, [], 0
-    for m in _TOKEN.finditer(marked):
+    for m in _TOKEN.finditer(marked) if words else ():
         inner = m.group().strip(_EDGE)
         if not inner:
             continue
@@ -463,8 +463,9 @@ def repaired_texts(rows: DataFrame) -> DataFrame:
                 if text is None:
                     texts.append(None)
                     continue
-                parted = {t for k, t in pieces(plain(text))[1] if k == "break"}
-                texts.append(repaired(text, {w["at"]: w["meant"] for w in words or []}, parted - set(breaks or []), {form(h) for h in headers or []}))
+                lines, noise = pieces(plain(text))
+                parted = {t for k, t in noise if k == "break"}
+                texts.append(repaired(lines, {w["at"]: w["meant"] for w in words or []}, parted - set(breaks or []), {form(h) for h in headers or []}))
             n = [k or 0 for k in b.column("n_repairs").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("row_key"), pa.array(texts, pa.string()), pa.array(n, pa.int64())], names=["kind", "row_key", "text", "n_repairs"])
 
