@@ -359,8 +359,10 @@ def running_headers(titled: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     known = pairs.where(F.col("n") >= LEAST_CONTEXT).select(F.col("pair").alias("bridge"))
     per_form = titled.groupBy("token", F.when(F.col("before").isNotNull(), F.xxhash64("before", "after")).alias("bridge")).agg(F.count(F.lit(1)).alias("k"))
-    bridged = per_form.join(known.withColumn("cut", F.lit(1)), "bridge", "left").groupBy("token").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("cut")).alias("cuts"))
-    return bridged.where((F.col("cuts") >= LEAST_INTERRUPTED) & (F.col("cuts") >= INTERRUPTED_SHARE * F.col("n"))).select("token")
+    # lines that interrupt nothing have no key to look up, so only the others meet the pairs
+    cut = per_form.where("bridge IS NOT NULL").join(known, "bridge").groupBy("token").agg(F.sum("k").alias("cuts")).where(F.col("cuts") >= LEAST_INTERRUPTED)
+    every = per_form.groupBy("token").agg(F.sum("k").alias("n"))
+    return cut.join(every, "token").where(F.col("cuts") >= INTERRUPTED_SHARE * F.col("n")).select("token")
 
 
 def repairs(rows: DataFrame) -> DataFrame:
@@ -393,8 +395,9 @@ def repairs(rows: DataFrame) -> DataFrame:
     # the four pairs around an occurrence are looked up in one join and become columns again
     slots = {"m1": ("before", "meant"), "m2": ("meant", "after"), "s1": ("before", "token"), "s2": ("token", "after")}
     around = F.array(*[F.struct(F.lit(k).alias("slot"), F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.xxhash64(a, b)).alias("pair")) for k, (a, b) in slots.items()])
-    asked = suspects.select(*place, "meant", "cost", F.explode(around).alias("x")).select(*place, "meant", "cost", "x.slot", "x.pair")
-    contexts = asked.join(pairs, "pair", "left").groupBy(*place, "meant", "cost").agg(*[F.max(F.when(F.col("slot") == k, F.col("n"))).alias(k) for k in slots])
+    asked = suspects.select(*place, "meant", "cost", F.explode(F.filter(around, lambda x: x.pair.isNotNull())).alias("x")).select(*place, "meant", "cost", "x.slot", "x.pair")
+    # what has no known pair around it has no support and may go
+    contexts = asked.join(pairs, "pair").groupBy(*place, "meant", "cost").agg(*[F.max(F.when(F.col("slot") == k, F.col("n"))).alias(k) for k in slots])
     support = F.coalesce("m1", F.lit(0)) + F.coalesce("m2", F.lit(0))
     own = F.coalesce("s1", F.lit(0)) + F.coalesce("s2", F.lit(0))
     # a word of letters alone may be a rare but right one: both of its neighbours must speak for the repair
